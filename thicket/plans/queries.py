@@ -35,7 +35,7 @@ BASE = 3_800_000.0  # a fixed base margin in cents
 #: The views in SQL; each oracle starts with those it needs.
 ROWS_SQL = """r AS (SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4, l_quantity AS f0, l_discount AS f1,
     CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_tax END AS f2, CAST(l_linenumber AS DOUBLE) AS f3, round(l_extendedprice * 100) AS label, l_returnflag AS flag FROM lineitem)"""
-PAIRS_SQL = """d AS (SELECT o_orderkey AS row_id, ((o_orderkey % 97) - 48) / CAST(24 AS DOUBLE) AS p, o_totalprice / CAST(100000 AS DOUBLE) AS y,
+PAIRS_SQL = """d AS (SELECT o_orderkey AS row_id, ((o_orderkey % 97) - 48) / CAST(24 AS DOUBLE) AS p, o_totalprice / CAST(99991 AS DOUBLE) AS y,
     CASE WHEN o_orderkey % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS b, 1 + (o_orderkey % 4) / CAST(4 AS DOUBLE) AS w FROM orders)"""
 RANKED_SQL = """e AS (SELECT event_id AS row_id, user_id AS group_id, value / CAST(100 AS DOUBLE) AS margin,
     CAST(CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS DOUBLE) AS label FROM events)"""
@@ -51,7 +51,7 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("row_id"), ((k % 97 - 48) / 24.0).alias("p"), (F.col("o_totalprice") / 100000.0).alias("y"), F.when(k % 3 == 0, 1.0).otherwise(0.0).alias("b"), (1 + (k % 4) / 4.0).alias("w"))
+    return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("row_id"), ((k % 97 - 48) / 24.0).alias("p"), (F.col("o_totalprice") / 99991.0).alias("y"), F.when(k % 3 == 0, 1.0).otherwise(0.0).alias("b"), (1 + (k % 4) / 4.0).alias("w"))
 
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -247,12 +247,12 @@ for _o, _w in _RANK_WEIGHTS.items():
     SQL[f"grad_{NAME(_o)}"] = "WITH " + _RANK.replace("WEIGHT", _w)
 
 
-@query("grad_survival_cox", f"""WITH {PAIRS_SQL}, s AS (SELECT row_id, p, round(y, 1) AS t, row_id % 3 <> 0 AS event FROM d), t AS (SELECT t, sum(exp(p)) AS e, sum(CAST(event AS DOUBLE)) AS n FROM s GROUP BY t),
+@query("grad_survival_cox", f"""WITH {PAIRS_SQL}, s AS (SELECT row_id, p, round(y + 1, 1) AS t, row_id % 3 <> 0 AS event FROM d), t AS (SELECT t, sum(exp(p)) AS e, sum(CAST(event AS DOUBLE)) AS n FROM s GROUP BY t),
     k AS (SELECT t, n, sum(e) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS risk FROM t),
     c AS (SELECT t, sum(n / risk) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS r1, sum(n / (risk * risk)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS r2 FROM k)
     SELECT row_id, round(exp(p) * r1 - CAST(event AS DOUBLE), 5) AS g, round(exp(p) * r1 - exp(p) * exp(p) * r2, 5) AS h FROM s JOIN c USING (t)""")
 def grad_survival_cox(spark: SparkSession, d: str) -> DataFrame:
-    df = pairs(spark, d).select("row_id", F.col("p").alias("margin"), F.when(F.col("row_id") % 3 != 0, F.round("y", 1)).otherwise(-F.round("y", 1)).alias("label"))
+    df = pairs(spark, d).select("row_id", F.col("p").alias("margin"), F.when(F.col("row_id") % 3 != 0, F.round(F.col("y") + 1, 1)).otherwise(-F.round(F.col("y") + 1, 1)).alias("label"))
     return O.cox_gradient(df).select("row_id", F.round("g", 5).alias("g"), F.round("h", 5).alias("h"))
 
 
@@ -307,8 +307,8 @@ def _scan_sql(level: int, lam: float = 1.0, alpha: float = 0.0, mcw: float = 1.0
     gain = f"{_part_sql('gl', 'hl', lam, alpha)} + {_part_sql('gp - gl', 'hp - hl', lam, alpha)} - {_part_sql('gp', 'hp', lam, alpha)}"
     return f"""{_hist_sql(level)}, t AS (SELECT node, feature, sum(g) AS gp, sum(h) AS hp, coalesce(sum(g) FILTER (WHERE bin < 0), 0) AS gm, coalesce(sum(h) FILTER (WHERE bin < 0), 0) AS hm FROM h GROUP BY node, feature),
     pre AS (SELECT node, feature, bin, sum(g) OVER w AS g0, sum(h) OVER w AS h0 FROM h WHERE bin >= 0 WINDOW w AS (PARTITION BY node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
-    both AS (SELECT node, feature, bin, dl AS default_left, CASE WHEN dl THEN g0 + gm ELSE g0 END AS gl, CASE WHEN dl THEN h0 + hm ELSE h0 END AS hl, gp, hp FROM pre JOIN t USING (node, feature), (VALUES (true), (false)) AS s(dl)),
-    cand AS (SELECT *, {gain} AS gain FROM both WHERE hl >= {mcw} AND hp - hl >= {mcw} {more}), ok AS (SELECT * FROM cand WHERE gain > 0 {features}),
+    sides AS (SELECT node, feature, bin, dl AS default_left, CASE WHEN dl THEN g0 + gm ELSE g0 END AS gl, CASE WHEN dl THEN h0 + hm ELSE h0 END AS hl, gp, hp FROM pre JOIN t USING (node, feature), (VALUES (true), (false)) AS s(dl)),
+    cand AS (SELECT *, {gain} AS gain FROM sides WHERE hl >= {mcw} AND hp - hl >= {mcw} {more}), ok AS (SELECT * FROM cand WHERE gain > 0 {features}),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin, default_left DESC) AS i FROM ok) WHERE i = 1)"""
 
 
@@ -369,7 +369,7 @@ def split_categorical_ratio(spark: SparkSession, d: str) -> DataFrame:
     v = rows(spark, d).groupBy(F.col("f3").alias("value")).agg(F.sum(F.lit(BASE) - F.col("label")).alias("g"), F.count(F.lit(1)).cast("double").alias("h"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("g") / (F.col("h") + 1e-10), "value")  # categories only
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return v.select("value", F.row_number().over(order).alias("place"), F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"))
+    return v.select("value", F.row_number().over(order).cast("long").alias("place"), F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"))
 
 
 _LEAF = f"{ROWS_SQL}, t AS (SELECT f3, sum({BASE:.1f}::DOUBLE - label) AS g, CAST(count(*) AS DOUBLE) AS h FROM r GROUP BY f3)"
@@ -581,10 +581,10 @@ for _m, _v in _RV.items():
         SQL[_n] = _RM.format(e=RANKED_SQL, g=_grp or "true", value=_v)
 
 
-@query("metric_cox_nloglik", f"""WITH {PAIRS_SQL}, s AS (SELECT p, round(y, 1) AS t, row_id % 3 <> 0 AS event FROM d), t AS (SELECT t, sum(exp(p)) AS e, sum(CAST(event AS DOUBLE)) AS n, sum(CASE WHEN event THEN p ELSE 0 END) AS m, count(*) AS c FROM s GROUP BY t),
+@query("metric_cox_nloglik", f"""WITH {PAIRS_SQL}, s AS (SELECT p, round(y + 1, 1) AS t, row_id % 3 <> 0 AS event FROM d), t AS (SELECT t, sum(exp(p)) AS e, sum(CAST(event AS DOUBLE)) AS n, sum(CASE WHEN event THEN p ELSE 0 END) AS m, count(*) AS c FROM s GROUP BY t),
     k AS (SELECT *, sum(e) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS risk FROM t) SELECT round(sum(n * ln(risk) - m) / sum(c), 6) AS value FROM k""")
 def metric_cox_nloglik(spark: SparkSession, d: str) -> DataFrame:
-    df = pairs(spark, d).select("p", F.when(F.col("row_id") % 3 != 0, F.round("y", 1)).otherwise(-F.round("y", 1)).alias("label"))
+    df = pairs(spark, d).select("p", F.when(F.col("row_id") % 3 != 0, F.round(F.col("y") + 1, 1)).otherwise(-F.round(F.col("y") + 1, 1)).alias("label"))
     return M.cox_nloglik(df, "p", "label").select(F.round("cox_nloglik", 6).alias("value"))
 
 
@@ -631,7 +631,7 @@ for _k, _v in (("weight", "CAST(count(*) AS DOUBLE)"), ("gain", "CAST(sum(gain)
 
 @query("importance_ranking", f"SELECT feature, CAST(gain AS DOUBLE) AS score, row_number() OVER (ORDER BY gain DESC, feature) AS rank FROM {_NODES}")
 def importance_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return explain.importance_ranking(hand_model(), spark).select("feature", "score", "rank")
+    return explain.importance_ranking(hand_model(), spark).select("feature", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("leaf_magnitude", "SELECT * FROM (VALUES (0, CAST(1.3 AS DOUBLE)), (1, CAST(0.9 AS DOUBLE))) AS t(tree_id, magnitude)")
@@ -648,8 +648,8 @@ def pdp_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Expectations of the first tree: node 2 = (20 * -0.3 + 40 * 0.2) / 60 = 1 / 30, root = (40 * 0.8 + 60 / 30) / 100 = 0.34.
-@query("approx_attribution", f"""WITH {ROWS_SQL} SELECT {_ID}, round(0.5 * CASE WHEN f0 < 25 THEN 0.46 ELSE CAST(1 AS DOUBLE) / 30 - 0.34 END, 6) AS a0, round(0.5 * CASE WHEN f1 < 0.05 THEN -0.45 ELSE 0.45 END, 6) AS a1,
-    round(0.5 * CASE WHEN f0 < 25 THEN 0 WHEN f2 < 0.03 THEN -0.3 - CAST(1 AS DOUBLE) / 30 ELSE 0.2 - CAST(1 AS DOUBLE) / 30 END, 6) AS a2, round(CAST(0.1 + 0.17 - 0.025 AS DOUBLE), 6) AS bias FROM r""")
+@query("approx_attribution", f"""WITH {ROWS_SQL} SELECT {_ID}, round(CAST(0.5 * CASE WHEN f0 < 25 THEN 0.46 ELSE CAST(1 AS DOUBLE) / 30 - 0.34 END AS DOUBLE), 6) AS a0, round(CAST(0.5 * CASE WHEN f1 < 0.05 THEN -0.45 ELSE 0.45 END AS DOUBLE), 6) AS a1,
+    round(0.5 * CASE WHEN f0 < 25 THEN CAST(0 AS DOUBLE) WHEN f2 < 0.03 THEN -0.3 - CAST(1 AS DOUBLE) / 30 ELSE 0.2 - CAST(1 AS DOUBLE) / 30 END, 6) AS a2, round(CAST(0.1 + 0.17 - 0.025 AS DOUBLE), 6) AS bias FROM r""")
 def approx_attribution(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("attribution")
     out = explain.with_attribution(hand_model(), rows(spark, d), "approximate")
@@ -662,15 +662,15 @@ _V0 = "CASE WHEN f0 < 25 THEN 0.8 ELSE CAST(1 AS DOUBLE) / 30 END"
 _V2 = "(0.4 * 0.8 + 0.6 * CASE WHEN f2 < 0.03 THEN -0.3 ELSE 0.2 END)"
 
 
-@query("attribution", f"""WITH {ROWS_SQL} SELECT {_ID}, round(0.5 * (({_V0}) - 0.34 + ({_V02}) - {_V2}) / 2, 6) AS a0, round(0.5 * CASE WHEN f1 < 0.05 THEN -0.45 ELSE 0.45 END, 6) AS a1,
-    round(0.5 * ({_V2} - 0.34 + ({_V02}) - ({_V0})) / 2, 6) AS a2, round(CAST(0.1 + 0.17 - 0.025 AS DOUBLE), 6) AS bias FROM r""")
+@query("attribution", f"""WITH {ROWS_SQL} SELECT {_ID}, round(CAST(0.5 * (({_V0}) - 0.34 + ({_V02}) - {_V2}) / 2 AS DOUBLE), 6) AS a0, round(CAST(0.5 * CASE WHEN f1 < 0.05 THEN -0.45 ELSE 0.45 END AS DOUBLE), 6) AS a1,
+    round(CAST(0.5 * ({_V2} - 0.34 + ({_V02}) - ({_V0})) / 2 AS DOUBLE), 6) AS a2, round(CAST(0.1 + 0.17 - 0.025 AS DOUBLE), 6) AS bias FROM r""")
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("attribution")
     out = explain.with_attribution(hand_model(), rows(spark, d), "exact")
     return out.select(*KEY, "label", *[F.round(a[i], 6).alias(n) for i, n in ((0, "a0"), (1, "a1"), (2, "a2"), (4, "bias"))])
 
 
-@query("interaction", f"WITH {ROWS_SQL} SELECT {_ID}, round(0.5 * (({_V02}) - ({_V0}) - {_V2} + 0.34) / 2, 6) AS i02, round(0.5 * CASE WHEN f1 < 0.05 THEN -0.45 ELSE 0.45 END, 6) AS i11 FROM r")
+@query("interaction", f"WITH {ROWS_SQL} SELECT {_ID}, round(CAST(0.5 * (({_V02}) - ({_V0}) - {_V2} + 0.34) / 2 AS DOUBLE), 6) AS i02, round(CAST(0.5 * CASE WHEN f1 < 0.05 THEN -0.45 ELSE 0.45 END AS DOUBLE), 6) AS i11 FROM r")
 def interaction(spark: SparkSession, d: str) -> DataFrame:
     out = explain.with_attribution(hand_model(), rows(spark, d), "interaction")
     return out.select(*KEY, "label", F.round(F.col("attribution")[2], 6).alias("i02"), F.round(F.col("attribution")[6], 6).alias("i11"))
@@ -786,7 +786,7 @@ def model_dump(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
 
 
-@query("flagship", f"WITH {_ROOT}, a AS (SELECT b.*, {_SIDE} AS go_left, gl, hl, gp, hp FROM b, root), s AS (SELECT label, {BASE:.1f}::DOUBLE + CASE WHEN go_left THEN -gl / (hl + 1) ELSE -(gp - gl) / (hp - hl + 1) END AS p FROM a) SELECT round(sqrt(avg((p - label) * (p - label))), 2) AS rmse, count(*) AS n FROM s")
+@query("flagship", f"WITH {_ROOT}, a AS (SELECT b.*, {_SIDE} AS go_left, gl, hl, gp, hp FROM b, root), z AS (SELECT label, {BASE:.1f}::DOUBLE + CASE WHEN go_left THEN -gl / (hl + 1) ELSE -(gp - gl) / (hp - hl + 1) END AS p FROM a) SELECT round(sqrt(avg((p - label) * (p - label))), 2) AS rmse, count(*) AS n FROM z")
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Cuts, bins, histogram, best split, leaves, score and error in one go."""
     df, _ = grown(spark, d, 1)

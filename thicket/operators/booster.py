@@ -149,8 +149,8 @@ class Booster:
             g, h = class_gradient(m, y, c.classes, w)
             return df.withColumns({"__g": g, "__h": h}), None
         if c.objective.startswith("rank:") or c.objective == "survival:cox":
-            flat = df.select("__row", *([group] if group else [F.lit(0).alias("__one")]), m[0].alias("margin"), y.alias("label"))
-            made = cox_gradient(flat, "__row") if c.objective == "survival:cox" else pair_gradient(flat, c.objective, group or "__one", "__row", exp_gain=c.ndcg_exp_gain)
+            flat = df.select("__row", (F.col(f"`{group}`") if group else F.lit(0)).alias("__grp"), m[0].alias("margin"), y.alias("label"))
+            made = cox_gradient(flat, "__row") if c.objective == "survival:cox" else pair_gradient(flat, c.objective, "__grp", "__row", exp_gain=c.ndcg_exp_gain)
             made = made.select(F.col("__row").alias("__r"), F.array(F.col("g")).alias("__g0"), F.array(F.col("h")).alias("__h0"))
             zero = F.array(F.lit(0.0))
             out = df.join(made, F.col("__row") == F.col("__r"), "left")

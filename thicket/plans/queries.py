@@ -539,8 +539,8 @@ for _m, (_pr, _lab, _sql) in ROW_METRICS.items():
 
 
 def _class_metric(name: str) -> Query:
-    p = F.col("p")
-    return lambda s, d: pairs(s, d).agg(F.round(M.row_metric(name, E.softmax(F.array(p, p / 2, -p)), F.col("row_id") % 3), 6).alias("value"))
+    soft = lambda: E.softmax(F.array(F.col("p"), F.col("p") / 2, -F.col("p")))
+    return lambda s, d: pairs(s, d).agg(F.round(M.row_metric(name, soft(), F.col("row_id") % 3), 6).alias("value"))
 
 
 QUERIES |= {"metric_merror": _class_metric("merror"), "metric_mlogloss": _class_metric("mlogloss")}

@@ -35,8 +35,9 @@ from .bpe_codec import rolling
 from .common import drop_table, materialize, text_bytes
 
 LENGTH, ANCHOR, BATCHES = 400, 64, 4
-#: Stretches of one anchor that one suffix array holds; larger groups are spread.
-GROUP = 128
+#: Stretches of one anchor that one task compares (larger groups are spread over
+#: tasks), and of these the number that one suffix array holds.
+GROUP, IN_ARRAY = 2048, 256
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str, keep: list[str]) -> DataFrame:
@@ -161,7 +162,13 @@ def equal_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     """For each part a mask over its windows: does an equal one start elsewhere?
 
     A suffix array (cut at ``length`` bytes) over the parts; equal neighbours match.
+    Over IN_ARRAY parts, 64-bit digests of the windows are compared in its place,
+    which needs 8 bytes a window and not its text.
     """
+    if len(parts) > IN_ARRAY:
+        each = [window_digests(p, length) for p in parts]
+        _, back, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        return np.split(count[back] > 1, np.cumsum([len(x) for x in each])[:-1])
     order = sorted((p[i : i + length], k, i) for k, p in enumerate(parts) for i in range(len(p) - length + 1))
     out = [np.zeros(max(0, len(p) - length + 1), bool) for p in parts]
     for (x, k, i), (y, m, j) in zip(order, order[1:]):
@@ -170,6 +177,10 @@ def equal_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
+def window_digests(part: bytes, length: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(part[i : i + length]) for i in range(len(part) - length + 1)], np.uint64)
+
+
 def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
@@ -245,24 +256,31 @@ def _edge_windows(parts: DataFrame, length: int) -> DataFrame:
     small = parts.where(F.col("kinds") <= GROUP).select("a", "s", "part")
     one = small.repartition("a").sortWithinPartitions("a", "s").mapInArrow(grouped, schema)
 
-    # Larger groups: every window's digest is counted over all tasks instead.
+    # Larger groups: every window's digest is counted over all tasks.
     window = T.StructType([*_PART.fields[:2], T.StructField("i", T.IntegerType()), T.StructField("w", T.LongType())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, s, part in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                n = len(part) - length + 1
-                w = np.array([xxhash.xxh3_64_intdigest(part[i : i + length]) for i in range(n)], np.uint64).view(np.int64)
+                w = window_digests(part, length).view(np.int64)
+                n = len(w)
                 yield pa.RecordBatch.from_arrays([pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(w)], names=window.names)
 
     large = parts.where(F.col("kinds") > GROUP).select("a", "s", "part").mapInArrow(spread, window)
     large = materialize(large, "windows")
     often = materialize(large.groupBy("a", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("a").alias("oa"), F.col("w").alias("ow")), "often")
-    two = (
-        large.join(often.hint("merge"), (F.col("a") == F.col("oa")) & (F.col("w") == F.col("ow")))
-        .groupBy("a", "s").agg(F.collect_list(F.struct(F.col("i").alias("first"), (F.col("i") + 1).alias("end"))).alias("spans"))
-    )
-    return one.unionByName(two)
+    places = large.join(often.hint("merge"), (F.col("a") == F.col("oa")) & (F.col("w") == F.col("ow"))).groupBy("a", "s").agg(F.collect_list("i").alias("i"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in batch.column(2).to_pylist():
+                mask = np.zeros(max(own) + 1, bool)
+                mask[own] = True
+                out.append([{"first": x, "end": y} for x, y in _spans(mask)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, arrow_spans)], names=schema.names)
+
+    return one.unionByName(places.select("a", "s", "i").mapInArrow(merged, schema))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:

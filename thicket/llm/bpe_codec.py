@@ -36,6 +36,8 @@ from .token_counts import open_tokenizer
 HASH_BYTES, MASK, SHORTEST, LONGEST = 32, 0x3FF, 256, 8192
 #: Bound of the broadcast list of recurring chunks (8 bytes each), and of a worker's cache (bytes of text).
 PINNED, CACHE_BYTES = 65_536, 64 << 20
+#: White-space separated words whose ids a worker keeps, for the chunks it has not met.
+WORDS = 400_000
 
 _SPACE = re.compile(rb"[\t\n\r ]")
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -99,11 +101,23 @@ class Codec:
         self.kept: dict[bytes, tuple[bytes, bytes, bytes, bytes] | None] = {}
         self.loose: dict[bytes, tuple[bytes, bytes, bytes, bytes] | None] = {}
         self.held = 0
+        self.words: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _encode(self, parts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """ids (little-endian unsigned 32 bit) and their pieces, joined by a blank."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-        return [(np.array(x, "<u4").tobytes(), b" ".join([self.token[i] for i in x])) for x in ids]
+        split = [p.split() for p in parts]  # at ASCII white space, which no token crosses
+        known = self.words
+        new = list({w for own in split for w in own if w not in known})
+        if len(known) + len(new) > WORDS:
+            known.clear()
+            new = list({w for own in split for w in own})
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+        known.update((w, (np.array(x, "<u4").tobytes(), b" ".join([self.token[i] for i in x]))) for w, x in zip(new, ids, strict=True))
+        out = []
+        for own in split:
+            made = [known[w] for w in own]
+            out.append((b"".join([x for x, _ in made]), b" ".join([y for _, y in made if y])))
+        return out
 
     def _learn(self, new: list[bytes]) -> None:
         bodies, ends = [], []

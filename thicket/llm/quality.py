@@ -81,11 +81,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 8
     """
     flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
     seen = np.bincount(flat, minlength=BUCKETS)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     off = grades - grades.mean()
     z = np.bincount(flat, off[owner], minlength=BUCKETS) / (np.sqrt(np.maximum(seen, 1)) * (off.std() + 1e-9))
     use = np.flatnonzero((seen >= MIN_ROWS) & (np.abs(z) >= MIN_Z))
-    slot = np.full(BUCKETS, -1)
+    slot = np.full(BUCKETS, -1, np.int32)
     slot[use] = np.arange(len(use))
     cols = slot[flat]
     owner, cols = owner[cols >= 0], cols[cols >= 0]
@@ -129,7 +129,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, id_col: str, text: str, gr
     # Copies of a document may share an id: the sample stays bounded all the same.
     rows = joined.select("__doc", "t", "grade").mapInArrow(mapped, schema).orderBy("id", "grade").limit(2 * max_rated).toArrow()
     grades = rows.column("grade").to_numpy().astype(np.int64)
-    return [np.array(x, np.int64) for x in rows.column("x").to_pylist()], grades
+    return [part for chunk in rows.column("x").chunks for part in np.split(chunk.flatten().to_numpy(), chunk.value_lengths().to_numpy().cumsum()[:-1])] if rows.num_rows else [], grades
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text: str = "text", grade: Column | None = None, n_grades: int = 3, max_rated: int = MAX_RATED) -> tuple[np.ndarray, np.ndarray]:

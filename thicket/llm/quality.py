@@ -16,6 +16,7 @@ stand; repeated rows are scored row by row; an empty table gives an empty result
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import map_texts, text_bytes
 
-BUCKETS, MAX_RATED, MIN_ROWS, MIN_Z = 1 << 18, 12_000, 4, 4.0
+BUCKETS, MAX_RATED, MIN_ROWS = 1 << 18, 12_000, 4
 #: Besides whole words, their first bytes count, so that forms of one stem share a weight.
 PREFIXES = 4, 5, 6
 #: Words whose buckets a worker keeps.
@@ -76,15 +77,16 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 8
     """Weights and ordered thresholds by full-batch gradient descent with momentum (Adam).
 
     ``rows`` holds the distinct feature buckets of each rated text. A feature that
-    fewer than MIN_ROWS texts have, or whose texts' mean grade is within MIN_Z
-    standard errors of the overall mean, keeps weight 0.
+    fewer than MIN_ROWS texts have, or whose texts' mean grade is within a few (by
+    the number of rows) standard errors of the overall mean, keeps weight 0.
     """
     flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
     seen = np.bincount(flat, minlength=BUCKETS)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     off = grades - grades.mean()
     z = np.bincount(flat, off[owner], minlength=BUCKETS) / (np.sqrt(np.maximum(seen, 1)) * (off.std() + 1e-9))
-    use = np.flatnonzero((seen >= MIN_ROWS) & (np.abs(z) >= MIN_Z))
+    least = 1 + math.sqrt(math.log(max(2, len(rows))))  # the more rows, the more chance features
+    use = np.flatnonzero((seen >= MIN_ROWS) & (np.abs(z) >= least))
     slot = np.full(BUCKETS, -1, np.int32)
     slot[use] = np.arange(len(use))
     cols = slot[flat]

@@ -135,18 +135,31 @@ def shapley(model: Booster, x: np.ndarray, class_idx: int = 0) -> np.ndarray:
             m = len(path)
             if not m:
                 continue
-            ones = np.stack([np.logical_and.reduce([left[:, k] == d for k, d in steps]) for _, _, steps in path], 1).astype(float)
+            follows = np.stack([np.logical_and.reduce([left[:, k] == d for k, d in steps]) for _, _, steps in path], 1)
             zero = np.array([z for _, z, _ in path])
-            kernel = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
-            for j, (f, z, _) in enumerate(path):
-                poly = np.zeros((rows, m))
-                poly[:, 0] = 1
-                for i in range(m):
-                    if i != j:
-                        shifted = np.zeros_like(poly)
-                        shifted[:, 1:] = poly[:, :-1] * ones[:, i : i + 1]
-                        poly = poly * zero[i] + shifted
-                out[:, f] += scale * value * (ones[:, j] - z) * (poly @ kernel)
+            if m <= 8:  # what a row adds depends only on which decisions it follows
+                code = follows @ (1 << np.arange(m))
+                each = _path_shares((np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float), zero)[code]
+            else:
+                each = _path_shares(follows.astype(float), zero)
+            out[:, [f for f, _, _ in path]] += scale * value * each
+    return out
+
+
+def _path_shares(ones: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Shapley share of each path feature (columns) for each pattern of followed decisions (rows)."""
+    m = len(zero)
+    kernel = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+    out = np.empty_like(ones)
+    for j in range(m):
+        poly = np.zeros((len(ones), m))
+        poly[:, 0] = 1
+        for i in range(m):
+            if i != j:
+                shifted = np.zeros_like(poly)
+                shifted[:, 1:] = poly[:, :-1] * ones[:, i : i + 1]
+                poly = poly * zero[i] + shifted
+        out[:, j] = (ones[:, j] - zero[j]) * (poly @ kernel)
     return out
 
 

@@ -16,7 +16,11 @@ from ..functions.objectives import np_gradient, np_link
 from ..plans.params import Params
 from . import sampling
 from .quantize import bin_matrix, cuts_of
-from .tree import Split, Tree, best_split, leaf_value
+from .tree import Split, Tree, best_splits, leaf_value
+
+
+#: Histogram cells (nodes x features x bins) that are searched at once.
+LEVEL_CELLS = 4_000_000
 
 
 def base_margin(c: Params, y: np.ndarray) -> float:
@@ -52,15 +56,16 @@ class Bins:
         self.sizes = [len(v) if full or f in c.categorical else len(self.cuts[f]) for f, v in enumerate(self.values or self.cuts)]
         self.width = max([1, *self.sizes]) + 1
         self.bins = bin_matrix(x, [np.append(k, np.inf) if full or f in c.categorical else k for f, k in enumerate(self.cuts)])
+        self.features = x.shape[1]
         self.flat = np.where(self.bins < 0, self.width - 1, self.bins) + np.arange(x.shape[1]) * self.width
 
-    def histogram(self, rows: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """(feature, bin, [g, h, n]); the last bin is for missing rows."""
-        features = self.bins.shape[1]
-        flat = self.flat[rows].ravel()
-        size = features * self.width
-        parts = [np.bincount(flat, np.repeat(v[rows], features), minlength=size) for v in (g, h, n)]
-        return np.stack(parts, 1).reshape(features, self.width, 3)
+    def histograms(self, groups: list[np.ndarray], g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(group, feature, bin, [g, h, n]) of groups of rows; the last bin is for missing rows."""
+        rows = np.concatenate(groups)
+        size = self.features * self.width
+        at = (self.flat[rows] + np.repeat(np.arange(len(groups)) * size, [len(x) for x in groups])[:, None]).ravel()
+        parts = [np.bincount(at, np.repeat(v[rows], self.features), minlength=size * len(groups)) for v in (g, h, n)]
+        return np.stack(parts, 1).reshape(len(groups), self.features, self.width, 3)
 
 
 def allowed_features(c: Params, mask: list[int], group: int) -> list[int]:
@@ -88,54 +93,68 @@ def grow(b: Bins, g: np.ndarray, h: np.ndarray, n: np.ndarray, mask: list[int],
     use = np.flatnonzero(n > 0)
     root.g, root.h = float(g[use].sum()), float(h[use].sum())
 
-    def find(k: int, hist: np.ndarray, level: list[int]) -> Split | None:
-        node = tree.nodes[k]
-        own = sampling.sample_columns(level, c.colsample_bynode, seed * 7919 + k * 31 + 7) if c.colsample_bynode < 1 else level
-        return best_split(hist, node.g, node.h, c, allowed_features(c, own, node.group), b.sizes, b.values)
-
-    def part(k: int, rows: np.ndarray, hist: np.ndarray, best: Split) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        node = tree.nodes[k]
-        left, right = tree.split(k, best, b.cuts)
-        node.group = path_group(c, best.feature, node.group)
-        tree.nodes[left].group = tree.nodes[right].group = node.group
-        every = np.flatnonzero(node_of == k)
-        node_of[every] = np.where(_goes_left(b, every, best), left, right)
-        goes = node_of[rows] == left
-        a, z = rows[goes], rows[~goes]
-        small = b.histogram(a if len(a) <= len(z) else z, g, h, n)
-        rest = hist - small
-        rest[:, :, 1] = np.maximum(rest[:, :, 1], 0)
-        rest[:, :, 2] = np.rint(rest[:, :, 2])
-        pair = (small, rest) if len(a) <= len(z) else (rest, small)
-        for child, own in ((left, a), (right, z)):
-            tree.nodes[child].g, tree.nodes[child].h = float(g[own].sum()), float(h[own].sum())
-        return [(left, a, pair[0]), (right, z, pair[1])]
-
-    first = (0, use, b.histogram(use, g, h, n))
+    def find(items: list[tuple], level: list[int]) -> list[Split | None]:
+        if not items:
+            return []
+        own = [sampling.sample_columns(level, c.colsample_bynode, seed * 7919 + k * 31 + 7) if c.colsample_bynode < 1 else level for k, _, _ in items]
+        may = [allowed_features(c, fs, tree.nodes[k].group) for fs, (k, _, _) in zip(own, items, strict=True)]
+        gs, hs = np.array([tree.nodes[k].g for k, _, _ in items]), np.array([tree.nodes[k].h for k, _, _ in items])
+        return best_splits(np.stack([hist for _, _, hist in items]), gs, hs, c, may, b.sizes, b.values)
+
+    def part(items: list[tuple], found: list[Split | None]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        made = []
+        for (k, rows, hist), best in zip(items, found, strict=True):
+            if best is None:
+                continue
+            node = tree.nodes[k]
+            left, right = tree.split(k, best, b.cuts)
+            node.group = path_group(c, best.feature, node.group)
+            tree.nodes[left].group = tree.nodes[right].group = node.group
+            every = rows if whole else np.flatnonzero(node_of == k)
+            node_of[every] = np.where(_goes_left(b, every, best), left, right)
+            goes = node_of[rows] == left
+            made.append((left, rows[goes], right, rows[~goes], hist))
+        if not made:
+            return []
+        small = b.histograms([x if len(x) <= len(z) else z for _, x, _, z, _ in made], g, h, n)
+        out = []
+        for (left, x, right, z, hist), own in zip(made, small, strict=True):
+            rest = hist - own
+            np.maximum(rest[:, :, 1], 0, out=rest[:, :, 1])
+            np.rint(rest[:, :, 2], out=rest[:, :, 2])
+            pair = (own, rest) if len(x) <= len(z) else (rest, own)
+            for child, rows, mine in ((left, x, pair[0]), (right, z, pair[1])):
+                tree.nodes[child].g, tree.nodes[child].h = float(g[rows].sum()), float(h[rows].sum())
+                out.append((child, rows, mine))
+        return out
+
+    whole = len(use) == len(g)
+    first = (0, use, b.histograms([use], g, h, n)[0])
     if c.max_leaves:
         level = sampling.sample_columns(mask, c.colsample_bylevel, seed * 7919)
         heap: list = []
 
-        def offer(item: tuple) -> None:
-            k, rows, hist = item
-            if len(rows) > 1 and (not c.max_depth or tree.nodes[k].depth < c.max_depth) and (best := find(k, hist, level)):
-                heapq.heappush(heap, (-best.gain, k, rows, hist, best))
+        def offer(items: list[tuple]) -> None:
+            items = [x for x in items if len(x[1]) > 1 and (not c.max_depth or tree.nodes[x[0]].depth < c.max_depth)]
+            for (k, rows, hist), best in zip(items, find(items, level), strict=True):
+                if best:
+                    heapq.heappush(heap, (-best.gain, k, rows, hist, best))
 
-        offer(first)
+        offer([first])
         leaves = 1
         while heap and leaves < c.max_leaves:
             _, k, rows, hist, best = heapq.heappop(heap)
-            for item in part(k, rows, hist, best):
-                offer(item)
+            offer(part([(k, rows, hist)], [best]))
             leaves += 1
     else:
         frontier = [first]
         for depth in range(c.max_depth):
             level = sampling.sample_columns(mask, c.colsample_bylevel, seed * 7919 + depth)
+            frontier = [x for x in frontier if len(x[1]) > 1]
+            step = max(1, LEVEL_CELLS // (b.features * b.width))
             after = []
-            for k, rows, hist in frontier:
-                if len(rows) > 1 and (best := find(k, hist, level)):
-                    after += part(k, rows, hist, best)
+            for i in range(0, len(frontier), step):
+                after += part(frontier[i : i + step], find(frontier[i : i + step], level))
             frontier = after
     for node in tree.nodes:
         if node.is_leaf:

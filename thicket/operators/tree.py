@@ -109,44 +109,59 @@ def _part(g: np.ndarray, h: np.ndarray, c: Params) -> np.ndarray:
     return np.where(d > 0, t * t / np.where(d > 0, d, 1), 0.0)
 
 
-def best_split(hist: np.ndarray, g: float, h: float, c: Params, allowed: list[int], sizes: list[int], values: list[np.ndarray] | None = None) -> Split | None:
-    """The split of one node from its histogram (feature, bin, [g, h, n]).
+def best_splits(hist: np.ndarray, g: np.ndarray, h: np.ndarray, c: Params, allowed: list[list[int]], sizes: list[int], values: list[np.ndarray] | None = None) -> list[Split | None]:
+    """The split of each node from its histogram (node, feature, bin, [g, h, n]).
 
     The last bin holds the missing rows. Both directions are tried for them, left
     on ties; among equal gains the first feature and the first bin win. ``values``
     gives a feature's bin values for categories and for exact growth.
     """
-    best: Split | None = None
-    parent = float(_part(np.array(g), np.array(h), c))
-    for f in allowed:
-        nb = sizes[f]
-        if nb < 2:
-            continue
-        own = hist[f, :nb]
-        miss = hist[f, -1]
-        if f in c.categorical:
-            found = _categorical(own, miss, g, h, parent, c, f, values[f])
-            if found and found.gain > max(c.gamma, best.gain if best else 0.0):
-                best = found
-            continue
-        gl, hl, nl = np.cumsum(own[:-1], 0).T
-        use = own[:-1, 2] > 0
-        n_right = own[:, 2].sum() - nl
-        for left in (True, False):
-            a, b = (gl + miss[0], hl + miss[1]) if left else (gl, hl)
-            gr, hr = g - a, h - b
-            gain = _part(a, b, c) + _part(gr, hr, c) - parent
-            ok = use & (b >= c.min_child_weight) & (hr >= c.min_child_weight) & (n_right + (0 if left else miss[2]) > 0)
-            if sign := c.monotone.get(f, 0):
-                ok &= sign * (a / (b + c.lambda_ + 1e-300) - gr / (hr + c.lambda_ + 1e-300)) >= 0
-            gain = np.where(ok, gain, -1.0)
-            k = int(gain.argmax())
-            if gain[k] > max(c.gamma, best.gain if best else 0.0) * (1 + 1e-12):
-                best = Split(float(gain[k]), f, k, float(a[k]), float(b[k]), left)
-                if values is not None and c.tree_method == "exact":
-                    after = k + 1 + int(np.argmax(own[k + 1 :, 2] > 0))
-                    best.threshold = float((values[f][k] + values[f][after]) / 2)
-    return best
+    nodes, features, width, _ = hist.shape
+    parent = _part(g, h, c)
+    own, miss = hist[:, :, :-1], hist[:, :, -1]
+    usable = np.zeros((nodes, features), bool)
+    for k, fs in enumerate(allowed):
+        usable[k, [f for f in fs if sizes[f] >= 2 and f not in c.categorical]] = True
+    inner = np.arange(width - 2)[None, :] < np.asarray(sizes)[:, None] - 1
+    upto = np.cumsum(own[:, :, :-1], 2)
+    left_g, left_h, left_n = upto[..., 0], upto[..., 1], upto[..., 2]
+    here = usable[:, :, None] & inner[None] & (own[:, :, :-1, 2] > 0)
+    some = miss[..., 2].any()
+    best_gain, sides = None, []
+    for left in (True, False) if some else (True,):
+        a = left_g + miss[:, :, None, 0] if left and some else left_g
+        b = left_h + miss[:, :, None, 1] if left and some else left_h
+        n = left_n + miss[:, :, None, 2] if left and some else left_n
+        gr, hr = g[:, None, None] - a, h[:, None, None] - b
+        total = own[..., 2].sum(2)[:, :, None] + miss[:, :, None, 2]
+        ok = here & (b >= c.min_child_weight) & (hr >= c.min_child_weight) & (total - n > 0)
+        gain = _part(a, b, c) + _part(gr, hr, c) - parent[:, None, None]
+        for f, sign in c.monotone.items():
+            if sign:
+                ok[:, f] &= sign * (a[:, f] * (hr[:, f] + c.lambda_) - gr[:, f] * (b[:, f] + c.lambda_)) >= 0
+        gain = np.where(ok, gain, -1.0)
+        sides.append((gain, a, b))
+        best_gain = gain if best_gain is None else np.maximum(best_gain, gain)
+    flat = best_gain.reshape(nodes, -1)
+    top = flat.max(1) if flat.shape[1] else np.full(nodes, -1.0)
+    out: list[Split | None] = []
+    for k in range(nodes):
+        best = None
+        if top[k] > max(c.gamma, 0.0):
+            at = int(np.argmax(flat[k] >= top[k] * (1 - 1e-12)))
+            f, b = divmod(at, width - 2)
+            near = [i for i, s in enumerate(sides) if s[0][k, f, b] >= top[k] * (1 - 1e-12)]
+            gain, a, w = sides[near[0]]
+            best = Split(float(gain[k, f, b]), f, b, float(a[k, f, b]), float(w[k, f, b]), near[0] == 0)
+            if values is not None and c.tree_method == "exact":
+                after = b + 1 + int(np.argmax(own[k, f, b + 1 :, 2] > 0))
+                best.threshold = float((values[f][b] + values[f][min(after, len(values[f]) - 1)]) / 2)
+        for f in c.categorical:
+            if f in allowed[k] and sizes[f] >= 2 and (found := _categorical(own[k, f, : sizes[f]], miss[k, f], g[k], h[k], float(parent[k]), c, f, values[f])):
+                if found.gain > max(c.gamma, best.gain if best else 0.0) * (1 + 1e-12):
+                    best = found
+        out.append(best)
+    return out
 
 
 def _categorical(own: np.ndarray, miss: np.ndarray, g: float, h: float, parent: float, c: Params, f: int, values: np.ndarray) -> Split | None:

@@ -117,6 +117,22 @@ def test_strategies_agree(spark):
     assert np.allclose(again.numpy_predict(x), base, atol=1e-9)
 
 
+def test_leaf_wise_growth_agrees(spark):
+    x, y = data()
+    c = params(num_trees=2, max_leaves=20, max_depth=0)
+    a, b = (Booster.fit(frame_of(spark, x, y), c, strategy=s) for s in ("local", "spark"))
+    assert np.allclose(a.numpy_predict(x), b.numpy_predict(x), atol=1e-9)
+    assert [sum(n.is_leaf for n in t.nodes) for t in b.trees] == [20, 20]
+
+
+def test_forest_on_the_cluster(spark):
+    x, y = data()
+    frame, c = frame_of(spark, x, y), params(num_trees=6, num_parallel_tree=3, max_depth=4, eta=0.5)
+    model = Booster.fit(frame, c, metrics=("rmse",), strategy="spark")
+    assert len(model.trees) == 18 and model.history[-1]["train-rmse"] < 0.5 * np.std(y)
+    assert np.isclose(model.history[-1]["train-rmse"], np.sqrt(np.mean((model.numpy_predict(x) - y) ** 2)))
+
+
 @pytest.mark.parametrize("objective,k", [("binary:logistic", 1), ("multi:softprob", 3), ("survival:cox", 1), ("rank:pairwise", 1)])
 def test_spark_objectives_agree_with_local(spark, objective, k):
     x, y = data(120)

@@ -6,6 +6,7 @@ Two strategies give the same trees: ``spark`` grows them with one job a level,
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,9 @@ from .frame import Frame
 from .quantize import cut_table, with_bins
 from .tree import NODE_SCHEMA, Node, Tree
 
+log = logging.getLogger("thicket")
+#: Rounds between two lines of the log.
+LOG_EVERY = 10
 #: Cells (rows x features) that ``auto`` takes to the driver.
 LOCAL_CELLS = 4_000_000
 #: Rounds after which the margins' lineage is cut by a checkpoint.
@@ -67,13 +71,13 @@ class Booster:
             self.trees, self.base, more = local.fit(local.LocalData(x, y, w, m, g), c, self.trees, self.base if keep else None, v, metrics)
             self.history += more
         elif self._needs_local():
-            raise ValueError("the spark strategy has no exact, loss-guided, categorical, dart, forest, gradient-based or custom-objective growth")
+            raise ValueError("the spark strategy has no exact, categorical, dart, leaf-refreshing, gradient-sampled or custom-objective growth")
         else:
             self._train_spark(frame, valid, metrics, keep, "catalyst" if strategy == "catalyst" else "arrow")
 
     def _needs_local(self) -> bool:
         c = self.params
-        return bool(c.tree_method == "exact" or c.max_leaves or c.categorical or c.booster == "dart" or c.num_parallel_tree > 1 or c.sampling_method != "uniform" or c.custom_objective or c.custom_metric)
+        return bool(c.tree_method == "exact" or c.categorical or c.booster == "dart" or c.refresh_leaf or c.sampling_method != "uniform" or c.custom_objective or c.custom_metric)
 
     def _train_spark(self, frame: Frame, valid: Frame | None, metrics: tuple[str, ...], keep: bool, strategy: str) -> None:
         c, k = self.params, self.params.classes
@@ -97,17 +101,21 @@ class Booster:
         if valid is not None:
             vdf = valid.df.withColumn("__m", F.array(*[F.lit(self.base)] * k))
             vdf = self._add_trees(vdf, self.trees, self.features) if self.trees else vdf
-        done = len(self.trees) // k
+        done = len(self.trees) // (k * c.num_parallel_tree)
         for it in range(done, done + c.num_trees):
             grads, _ = self._gradients(rows, group, c)
             grads = grads.persist() if k > 1 or group or c.objective == "survival:cox" else grads
             fresh = rows
-            for cls in range(k):
+            for cls, p in [(cls, p) for cls in range(k) for p in range(c.num_parallel_tree)]:
                 one = grads.select("__row", F.col("__g")[cls].alias("g"), F.col("__h")[cls].alias("h"), F.lit(1.0).alias("n"), "bins")
                 one = sampling.sample_rows_by_hash(one, c.subsample, sampling.derive_seed(c.seed, it * k + cls, 0), "__row")
-                mask = sampling.sample_columns(list(range(len(cuts))), c.colsample_bytree, sampling.derive_seed(c.seed, it * k + cls, 1), c.feature_weights)
-                tree, _ = spark_grow.grow(one, len(cuts), cuts, c, mask, sampling.derive_seed(c.seed, it * k + cls, 0) & 0xFFFF, strategy)
-                tree.class_idx = cls
+                if c.num_parallel_tree > 1:  # each tree of a forest draws its own rows
+                    drawn = sampling.with_multiplicity(one, sampling.derive_seed(c.seed, it * k + cls, 100 + p), "__row").where("copies > 0")
+                    one = drawn.select("__row", (F.col("g") * F.col("copies")).alias("g"), (F.col("h") * F.col("copies")).alias("h"), F.col("copies").cast("double").alias("n"), "bins")
+                mask = sampling.sample_columns(list(range(len(cuts))), c.colsample_bytree, sampling.derive_seed(c.seed, it * k + cls + p * 1000, 1 + (100 if p else 0)), c.feature_weights)
+                make = spark_grow.grow_by_leaf if c.max_leaves else spark_grow.grow
+                tree, _ = make(one, len(cuts), cuts, c, mask, sampling.derive_seed(c.seed, it * k + cls + p * 1000, p) & 0xFFFF, strategy)
+                tree.class_idx, tree.weight = cls, 1.0 / c.num_parallel_tree
                 self.trees.append(tree)
                 fresh = self._stepped(fresh, tree, c)
                 if vdf is not None:
@@ -124,6 +132,8 @@ class Booster:
             grads.unpersist()
             rows = fresh
             self.history.append(row)
+            if it % LOG_EVERY == 0:
+                log.info("round %d: %s", it, {n: v for n, v in row.items() if n != "iteration"})
             if c.early_stopping_rounds and vdf is not None and names:
                 score, up = row[f"valid-{names[0]}"], higher_is_better(names[0])
                 if best is None or (score > best[0] if up else score < best[0]):
@@ -160,10 +170,10 @@ class Booster:
 
     def _stepped(self, rows: DataFrame, tree: Tree, c: Params) -> DataFrame:
         """Margins after one tree, by routing over bins and a lookup of leaf values."""
-        node = F.lit(0)
-        out = rows.withColumn("__node", node)
-        at = 0
-        while at < len(tree.nodes) and not all(n.is_leaf for n in tree.nodes[at:]):
+        out, at = rows.withColumn("__node", F.lit(0)), 0
+        if c.max_leaves:  # nodes come in order of gain, not of depth
+            out = out.withColumn("__node", spark_grow.bin_case(tree))
+        while not c.max_leaves and at < len(tree.nodes) and not all(n.is_leaf for n in tree.nodes[at:]):
             depth = tree.nodes[at].depth
             out = out.withColumn("__node", spark_grow.route(F.col("__node"), F.col("bins"), _levels(tree, depth), at))
             at = next((i for i, n in enumerate(tree.nodes) if n.depth == depth + 1), len(tree.nodes))

@@ -9,6 +9,7 @@ each open node comes to the driver.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,3 +146,50 @@ def grow(rows: DataFrame, features: int, cuts: list[np.ndarray], c: Params, mask
         if node.is_leaf:
             node.value = leaf_value(node.g, node.h, c)
     return tree, now
+
+
+def bin_case(tree: Tree, k: int = 0) -> Column:
+    """The leaf of a row over its bins, as nested CASE."""
+    n = tree.nodes[k]
+    if n.is_leaf:
+        return F.lit(k)
+    value = F.element_at("bins", n.feature + 1)
+    left = F.when(value < 0, F.lit(bool(n.default_left))).otherwise(value <= n.bin)
+    return F.when(left, bin_case(tree, n.left)).otherwise(bin_case(tree, n.right))
+
+
+def grow_by_leaf(rows: DataFrame, features: int, cuts: list[np.ndarray], c: Params, mask: list[int], seed: int = 0, strategy: str = "arrow") -> tuple[Tree, DataFrame]:
+    """One tree, best leaf first, up to ``max_leaves`` leaves: one job for each split.
+
+    The driver holds a queue of the open leaves' best splits; a job finds those of
+    the two children of the leaf that was split last.
+    """
+    tree, width = Tree(), max([1, *map(len, cuts)])
+    level = [f for f in sampling.sample_columns(mask, c.colsample_bylevel, seed * 7919) if len(cuts[f]) >= 2]
+    now, heap = rows.withColumn("node", F.lit(0)), []
+
+    def offer(nodes: list[int]) -> None:
+        nodes = [k for k in nodes if not c.max_depth or tree.nodes[k].depth < c.max_depth]
+        if not nodes or not level:
+            return
+        allowed = {k: allowed_features(c, sampling.sample_columns(level, c.colsample_bynode, seed * 7919 + k * 31 + 7), tree.nodes[k].group) for k in nodes}
+        for r in best_splits(histogram(now.where(F.col("node").isin(nodes)), features, width, strategy), c, allowed).collect():  # two rows at most
+            if r["node"] == 0:
+                tree.nodes[0].g, tree.nodes[0].h = r["gp"], r["hp"]
+            heapq.heappush(heap, (-r["gain"], r["node"], Split(r["gain"], r["feature"], r["bin"], r["gl"], r["hl"], r["default_left"])))
+
+    offer([0])
+    leaves = 1
+    while heap and leaves < c.max_leaves:
+        _, k, best = heapq.heappop(heap)
+        left, right = tree.split(k, best, cuts)
+        tree.nodes[left].group = tree.nodes[right].group = path_group(c, best.feature, tree.nodes[k].group)
+        now = rows.withColumn("node", bin_case(tree))  # anew from the bins: a chain of columns would grow with the splits
+        offer([left, right])
+        leaves += 1
+    if not tree.nodes[0].h:
+        tree.nodes[0].g, tree.nodes[0].h = rows.agg(F.coalesce(F.sum("g"), F.lit(0.0)), F.coalesce(F.sum("h"), F.lit(0.0))).first()
+    for node in tree.nodes:
+        if node.is_leaf:
+            node.value = leaf_value(node.g, node.h, c)
+    return tree, now

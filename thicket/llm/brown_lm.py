@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, runs, text_bytes
+from .common import heaviest, materialize, runs, text_bytes
 
 END = b""  # no word is empty
 #: Words of the broadcast table, words with a symbol of their own, shared symbols, classes.
@@ -191,8 +191,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
     training = docs.where(~held_out(F.col(f"`{id_col}`")))
     counts = materialize(word_counts(training, text), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(TABLE_WORDS).toArrow()  # words of at most LONGEST bytes
-    names, n = [bytes(x) for x in top.column("word").to_pylist()], top.column("c").to_pylist()
+    top = heaviest(counts, "c", TABLE_WORDS).toArrow()  # words of at most LONGEST bytes
+    top = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    names, n = [w for _, w in top], [c for c, _ in top]
     own = {w: i for i, w in enumerate(names[:OWN])}
     if END not in own:
         own = {w: i for w, i in own.items() if i < OWN - 1} | {END: min(len(own), OWN - 1)}
@@ -224,14 +225,14 @@ def _kinds(counts: DataFrame, own: dict[bytes, int]) -> np.ndarray:
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast((model.own, model.table, model.label, model.step, model.below))
     rare_kind = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
     schema = T.StructType([docs.schema[id_col], *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")], *[T.StructField(n, T.DoubleType()) for n in ("counted", "below")], T.StructField("rare", rare_kind)])
     arrow_rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = sent.value
-        to, table, label = Symbols(m.own), m.table, m.label
+        own, table, label, step, below_of = sent.value
+        to = Symbols(own)
         logs = {w: math.log10(c + ADD) for w, c in table.items()}
         for batch in batches:
             texts = text_bytes(batch.column(1))
@@ -240,7 +241,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 for t in texts[i:j]:
                     tokens = [*words_of(t), END]
                     c = label[np.array([to[END], *[to[w] for w in tokens]])]
-                    below = float(m.step[c[:-1], c[1:]].sum() - m.below[c[1:]].sum())
+                    below = float(step[c[:-1], c[1:]].sum() - below_of[c[1:]].sum())
                     rare = Counter([w for w in tokens if w not in logs])
                     known = len(tokens) - sum(rare.values())
                     counted = math.fsum([logs[w] for w in tokens if w in logs])

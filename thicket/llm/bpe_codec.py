@@ -19,8 +19,10 @@ result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, text_bytes
+from .common import heaviest, map_texts, materialize, text_bytes
 from .token_counts import open_tokenizer
 
 HASH_BYTES, MASK, SHORTEST, LONGEST = 32, 0x3FF, 256, 8192
@@ -88,13 +90,14 @@ def recurring_chunks(docs: DataFrame, text: str = "text", most: int = PINNED) ->
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["key", "n"])
 
     found = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mapped, "key long, n long")
-    return found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(most)
+    return heaviest(materialize(found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "chunks"), "n", most)
 
 
 class Codec:
     """Encodes and decodes texts on one worker, chunk by chunk."""
 
     def __init__(self, path: str, pinned: set[int]):
+        gc.set_threshold(200_000, 50, 50)  # the caches hold many objects and no cycles
         self.tokenizer, self.pinned = open_tokenizer(path), pinned
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.token = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
@@ -107,15 +110,20 @@ class Codec:
         """ids (little-endian unsigned 32 bit) and their pieces, joined by a blank."""
         split = [p.split() for p in parts]  # at ASCII white space, which no token crosses
         known = self.words
-        new = list({w for own in split for w in own if w not in known})
+        met: set[bytes] = set()
+        for own in split:
+            met.update(own)
+        new = [w for w in met if w not in known]
         if len(known) + len(new) > WORDS:
             known.clear()
-            new = list({w for own in split for w in own})
+            new = list(met)
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        known.update((w, (np.array(x, "<u4").tobytes(), b" ".join([self.token[i] for i in x]))) for w, x in zip(new, ids, strict=True))
+        token = self.token
+        for w, x in zip(new, ids, strict=True):
+            known[w] = struct.pack(f"<{len(x)}I", *x), b" ".join([token[i] for i in x])
         out = []
         for own in split:
-            made = [known[w] for w in own]
+            made = list(map(known.__getitem__, own))
             out.append((b"".join([x for x, _ in made]), b" ".join([y for _, y in made if y])))
         return out
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, runs, text_bytes
+from .common import heaviest, map_texts, materialize
 
 #: The split of byte-level BPE for texts of SAFE characters, on which Python's
 #: ``re`` classes and the Unicode classes of the pattern agree.
@@ -77,12 +77,8 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", entries: int = TABLE
         if top:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top]), pa.array([v for _, v in top], pa.int64())], names=["pretoken", "seen"])
 
-    return (
-        docs.select(F.col(f"`{text}`").cast("string").alias("__text"))
-        .mapInArrow(summaries, "pretoken string, seen long")
-        .groupBy("pretoken").agg(F.sum("seen").alias("seen"))
-        .orderBy(F.desc("seen"), "pretoken").limit(entries)
-    )
+    sums = docs.select(F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(summaries, "pretoken string, seen long").groupBy("pretoken").agg(F.sum("seen").alias("seen"))
+    return heaviest(materialize(sums, "pretokens"), "seen", entries)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
@@ -92,11 +88,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
     (``n_tokens > limit``). Begin, end and other added tokens are not counted;
     special strings inside a text count as one token, the library's default.
     """
-    spark = docs.sparkSession
-    frequent = [r[0] for r in frequent_pretokens(docs, text).collect()]  # at most TABLE_ENTRIES of ENTRY_BYTES
+    frequent = sorted(r[0] for r in frequent_pretokens(docs, text).collect())  # at most TABLE_ENTRIES of ENTRY_BYTES
     model = open_tokenizer(tokenizer)
     sizes = bytes(min(255, len(e)) for e in model.encode_batch_fast(frequent, add_special_tokens=False))
-    table = spark.sparkContext.broadcast(("\0".join(frequent), sizes))
+    table = docs.sparkSession.sparkContext.broadcast(("\0".join(frequent), sizes))
 
     def make():
         tok = open_tokenizer(tokenizer)

@@ -106,6 +106,8 @@ def leaf_value(g: float, h: float, c: Params) -> float:
 def _part(g: np.ndarray, h: np.ndarray, c: Params) -> np.ndarray:
     t = np.sign(g) * np.maximum(np.abs(g) - c.alpha, 0) if c.alpha else g
     d = h + c.lambda_
+    if c.lambda_ > 0:  # hessian sums aren't negative
+        return t * t / d
     return np.where(d > 0, t * t / np.where(d > 0, d, 1), 0.0)
 
 

@@ -60,12 +60,12 @@ class Bins:
         self.flat = np.where(self.bins < 0, self.width - 1, self.bins) + np.arange(x.shape[1]) * self.width
 
     def histograms(self, groups: list[np.ndarray], g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """(group, feature, bin, [g, h, n]) of groups of rows; the last bin is for missing rows."""
+        """(group, [g, h, n], feature, bin) of groups of rows; the last bin is for missing rows."""
         rows = np.concatenate(groups)
         size = self.features * self.width
         at = (self.flat[rows] + np.repeat(np.arange(len(groups)) * size, [len(x) for x in groups])[:, None]).ravel()
         parts = [np.bincount(at, np.repeat(v[rows], self.features), minlength=size * len(groups)) for v in (g, h, n)]
-        return np.stack(parts, 1).reshape(len(groups), self.features, self.width, 3)
+        return np.stack([p.reshape(len(groups), self.features, self.width) for p in parts], 1)
 
 
 def allowed_features(c: Params, mask: list[int], group: int) -> list[int]:
@@ -120,8 +120,8 @@ def grow(b: Bins, g: np.ndarray, h: np.ndarray, n: np.ndarray, mask: list[int],
         out = []
         for (left, x, right, z, hist), own in zip(made, small, strict=True):
             rest = hist - own
-            np.maximum(rest[:, :, 1], 0, out=rest[:, :, 1])
-            np.rint(rest[:, :, 2], out=rest[:, :, 2])
+            np.maximum(rest[1], 0, out=rest[1])
+            np.rint(rest[2], out=rest[2])
             pair = (own, rest) if len(x) <= len(z) else (rest, own)
             for child, rows, mine in ((left, x, pair[0]), (right, z, pair[1])):
                 tree.nodes[child].g, tree.nodes[child].h = float(g[rows].sum()), float(h[rows].sum())

@@ -112,54 +112,67 @@ def _part(g: np.ndarray, h: np.ndarray, c: Params) -> np.ndarray:
 
 
 def best_splits(hist: np.ndarray, g: np.ndarray, h: np.ndarray, c: Params, allowed: list[list[int]], sizes: list[int], values: list[np.ndarray] | None = None) -> list[Split | None]:
-    """The split of each node from its histogram (node, feature, bin, [g, h, n]).
+    """The split of each node from its histogram (node, [g, h, n], feature, bin).
 
     The last bin holds the missing rows. Both directions are tried for them, left
     on ties; among equal gains the first feature and the first bin win. ``values``
-    gives a feature's bin values for categories and for exact growth.
+    gives a feature's bin values for categories and for exact growth. Only bins with
+    rows are compared: a split after an empty bin is that after the last one with rows.
     """
-    nodes, features, width, _ = hist.shape
+    nodes, _, features, width = hist.shape
     parent = _part(g, h, c)
-    own, miss = hist[:, :, :-1], hist[:, :, -1]
+    own, miss = hist[..., :-1], hist[..., -1]
+    plain = [f for f in range(features) if sizes[f] >= 2 and f not in c.categorical]
     usable = np.zeros((nodes, features), bool)
     for k, fs in enumerate(allowed):
-        usable[k, [f for f in fs if sizes[f] >= 2 and f not in c.categorical]] = True
+        usable[k, plain if len(fs) == features else [f for f in fs if f in plain]] = True
     inner = np.arange(width - 2)[None, :] < np.asarray(sizes)[:, None] - 1
-    upto = np.cumsum(own[:, :, :-1], 2)
-    left_g, left_h, left_n = upto[..., 0], upto[..., 1], upto[..., 2]
-    here = usable[:, :, None] & inner[None] & (own[:, :, :-1, 2] > 0)
-    some = miss[..., 2].any()
+    here = own[:, 2, :, :-1] > 0
+    here &= inner
+    here &= usable[:, :, None]
+    cells = np.flatnonzero(here)
+    node, rest = np.divmod(cells, max(features * (width - 2), 1))
+    feature, bin_ = np.divmod(rest, max(width - 2, 1))
+    column = node * features + feature
+    many = np.bincount(column, minlength=nodes * features)
+    place = np.arange(len(cells)) - (np.cumsum(many) - many)[column]
+    packed = np.zeros((3, nodes * features, many.max(initial=0)))  # bins with rows, moved up to each other
+    for i in range(3):
+        packed[i, column, place] = own[node, i, feature, bin_]
+    left_g, left_h, left_n = (x[column, place] for x in np.cumsum(packed, 2))
+    total = (own[:, 2].sum(2) + miss[:, 2])[node, feature]
+    gn, hn, pn = g[node], h[node], parent[node]
+    signs = np.array([c.monotone.get(f, 0) for f in range(features)])[feature] if any(c.monotone.values()) else None
+    some = miss[:, 2].any()
     best_gain, sides = None, []
     for left in (True, False) if some else (True,):
-        a = left_g + miss[:, :, None, 0] if left and some else left_g
-        b = left_h + miss[:, :, None, 1] if left and some else left_h
-        n = left_n + miss[:, :, None, 2] if left and some else left_n
-        gr, hr = g[:, None, None] - a, h[:, None, None] - b
-        total = own[..., 2].sum(2)[:, :, None] + miss[:, :, None, 2]
-        ok = here & (b >= c.min_child_weight) & (hr >= c.min_child_weight) & (total - n > 0)
-        gain = _part(a, b, c) + _part(gr, hr, c) - parent[:, None, None]
-        for f, sign in c.monotone.items():
-            if sign:
-                ok[:, f] &= sign * (a[:, f] * (hr[:, f] + c.lambda_) - gr[:, f] * (b[:, f] + c.lambda_)) >= 0
+        a = left_g + miss[node, 0, feature] if left and some else left_g
+        b = left_h + miss[node, 1, feature] if left and some else left_h
+        n = left_n + miss[node, 2, feature] if left and some else left_n
+        gr, hr = gn - a, hn - b
+        ok = (b >= c.min_child_weight) & (hr >= c.min_child_weight) & (total - n > 0)
+        gain = _part(a, b, c) + _part(gr, hr, c) - pn
+        if signs is not None:
+            ok &= signs * (a * (hr + c.lambda_) - gr * (b + c.lambda_)) >= 0
         gain = np.where(ok, gain, -1.0)
         sides.append((gain, a, b))
         best_gain = gain if best_gain is None else np.maximum(best_gain, gain)
-    flat = best_gain.reshape(nodes, -1)
-    top = flat.max(1) if flat.shape[1] else np.full(nodes, -1.0)
+    ends = np.searchsorted(node, np.arange(nodes + 1))
     out: list[Split | None] = []
     for k in range(nodes):
-        best = None
-        if top[k] > max(c.gamma, 0.0):
-            at = int(np.argmax(flat[k] >= top[k] * (1 - 1e-12)))
-            f, b = divmod(at, width - 2)
-            near = [i for i, s in enumerate(sides) if s[0][k, f, b] >= top[k] * (1 - 1e-12)]
+        best, mine = None, best_gain[ends[k] : ends[k + 1]]
+        top = mine.max() if len(mine) else -1.0
+        if top > max(c.gamma, 0.0):
+            at = int(ends[k]) + int(np.argmax(mine >= top * (1 - 1e-12)))
+            f, b = int(feature[at]), int(bin_[at])
+            near = [i for i, s in enumerate(sides) if s[0][at] >= top * (1 - 1e-12)]
             gain, a, w = sides[near[0]]
-            best = Split(float(gain[k, f, b]), f, b, float(a[k, f, b]), float(w[k, f, b]), near[0] == 0)
+            best = Split(float(gain[at]), f, b, float(a[at]), float(w[at]), near[0] == 0)
             if values is not None and c.tree_method == "exact":
-                after = b + 1 + int(np.argmax(own[k, f, b + 1 :, 2] > 0))
+                after = b + 1 + int(np.argmax(own[k, 2, f, b + 1 :] > 0))
                 best.threshold = float((values[f][b] + values[f][min(after, len(values[f]) - 1)]) / 2)
         for f in c.categorical:
-            if f in allowed[k] and sizes[f] >= 2 and (found := _categorical(own[k, f, : sizes[f]], miss[k, f], g[k], h[k], float(parent[k]), c, f, values[f])):
+            if f in allowed[k] and sizes[f] >= 2 and (found := _categorical(own[k, :, f, : sizes[f]].T, miss[k, :, f], g[k], h[k], float(parent[k]), c, f, values[f])):
                 if found.gain > max(c.gamma, best.gain if best else 0.0) * (1 + 1e-12):
                     best = found
         out.append(best)

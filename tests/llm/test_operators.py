@@ -100,6 +100,14 @@ def test_near_copies(spark, docs, empty, cases):
     assert near_copies.one_of_each_group(empty).count() == 0
 
 
+def test_repeated_shingles_neither_join_nor_part_texts(spark):
+    own = [" ".join(f"{k}w{j}" for j in range(300)) for k in "xyz"]
+    passage = " ".join(f"p{j}" for j in range(60))
+    texts = ["the " * 1000 + own[0], "the " * 1000 + own[1], "a a a a a a a b", "a a a a a a a c", f"{own[2]} {passage}", f"{own[2]} " + " ".join([passage] * 8)]
+    out = near_copies.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_near_links_in_parts(spark):
     r = np.random.default_rng(0)
     rows = [(i, r.bytes(32)) for i in range(60)]

@@ -6,8 +6,8 @@ a seventh of their bits. So the stage takes 256 bits, eight bands of 32, and ask
 for a band with at most three differing bits. In each band one of four quarters
 is then equal, so a trie (one for each quarter, that quarter first) is walked only
 below nodes that share their first 8 bits. Pairs found are weighed by all 256
-bits; a task sends a minimum spanning forest of them. Links that are near enough
-for certain stand; the others are checked by exact Jaccard over the whole texts.
+bits; a task sends a minimum spanning forest of them. Texts with equal sets are
+one entry; every link between different sets is checked by exact Jaccard.
 
 Defined cases: texts without words are one group; a null id is kept only if its
 group has no other; repeated rows are copies of each other; an empty table gives
@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,16 +31,24 @@ from .simhash import fingerprint, pairs_within, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 LANES, BAND_BUDGET = 4, 3
-#: Of 256 bits, pairs of Jaccard 0.8 differ in about 38 (deviation 6): up to SURE
-#: bits a link stands unchecked, up to CLOSE bits it is checked.
-SURE, CLOSE = 6, 50
+#: Of 256 bits, pairs of Jaccard 0.8 differ in about 38 (deviation 6): up to CLOSE
+#: bits a link is checked.
+CLOSE = 50
 #: Entries of a trie node that meet in one task.
 NODE_ENTRIES = 8192
+#: Shingle sets that meet in a task for checks: of small components together, and
+#: of each side of a part of a large one.
+SMALL_SETS, PART_SETS = 2048, 64
 
 
-def wide_fingerprint(text: bytes, size: int = SHINGLE) -> bytes:
-    """Four SimHash lanes of 64 bits from one hash of each shingle."""
-    h, out = shingle_hashes(text, size), []
+def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """Four SimHash lanes of 64 bits from one hash of each distinct shingle."""
+    out = []
     for lane in range(LANES):
         x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (lane + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -130,26 +139,41 @@ def near_links(entries: DataFrame, node_entries: int = NODE_ENTRIES) -> DataFram
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d").distinct()
 
 
-def _verified(docs: DataFrame, entries: DataFrame, unsure: DataFrame, text: str, size: int, least: float) -> DataFrame:
-    """Those of the links whose texts' shingle sets are similar enough."""
-    ends = unsure.select(F.explode(F.array("u", "v")).alias("e")).distinct()
+def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, text: str, size: int) -> DataFrame:
+    """(k, own): the shingle sets of the links' entries."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("e")).distinct()
     rows = entries.join(ends, F.col("v") == F.col("e"), "left_semi").select("v", F.col("best.r1").alias("b1"), F.col("best.r2").alias("b2"))
     texts = docs.select(F.col(f"`{text}`").alias("__t"), "__r1", "__r2").join(rows.hint("merge"), (F.col("__r1") == F.col("b1")) & (F.col("__r2") == F.col("b2")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(shingle_hashes(t, size)).tobytes() for t in text_bytes(batch.column(1))]
+            own = [shingle_set(t, size).tobytes() for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["k", "own"])
 
-    own = materialize(texts.select("v", F.col("__t").cast("string")).mapInArrow(sets, "k long, own binary").dropDuplicates(["k"]), "sets")
-    pairs = unsure.join(own.select(F.col("k").alias("u"), F.col("own").alias("x")), "u").join(own.select(F.col("k").alias("v"), F.col("own").alias("y")), "v")
+    return materialize(texts.select("v", F.col("__t").cast("string")).mapInArrow(sets, "k long, own binary").dropDuplicates(["k"]), "sets")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long")
+def _verified(links: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """(u, v): those of the links (u, v, part) whose shingle sets are similar enough.
+
+    ``part`` is the candidate component. A task gets each set once: of many small
+    components, or of two parts of a large one.
+    """
+    ends = links.select("part", F.explode(F.array("u", "v")).alias("k")).distinct()
+    sizes = materialize(ends.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / PART_SETS).cast("int").alias("m")), "sizes")
+    groups = 1 + sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] * PART_SETS // SMALL_SETS
+    pairs = links.join(sizes, "part").withColumns({"cu": F.pmod(F.xxhash64("u"), F.col("m")), "cv": F.pmod(F.xxhash64("v"), F.col("m"))})
+    small = F.col("m") == 1
+    pairs = pairs.select("u", "v", F.when(small, F.pmod(F.xxhash64("part"), F.lit(groups))).otherwise(F.col("part")).alias("g"), F.when(small, F.lit(-1)).otherwise(F.least("cu", "cv")).alias("i"), F.when(small, F.lit(-1)).otherwise(F.greatest("cu", "cv")).alias("j"))
+    pairs = materialize(pairs, "pairs")
+    members = pairs.select("g", "i", "j", F.explode(F.array("u", "v")).alias("k")).distinct().join(own.hint("merge"), "k").select(F.col("g").alias("mg"), F.col("i").alias("mi"), F.col("j").alias("mj"), "k", "own")
+
+    def alike(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = {k: np.frombuffer(x, np.uint64) for k, x in zip(right.column("k").to_pylist(), right.column("own").to_pylist(), strict=True)}
+        ok = [jaccard(sets[u], sets[v]) >= least for u, v in zip(left.column("u").to_pylist(), left.column("v").to_pylist(), strict=True)]
+        return left.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.groupBy("g", "i", "j").cogroup(members.groupBy("mg", "mi", "mj")).applyInArrow(alike, "u long, v long")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
@@ -158,18 +182,22 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     keyed = docs.withColumns({"__r1": F.xxhash64(*key), "__r2": F.xxhash64(key[1], F.lit("row"), key[0])})
 
     def make() -> Callable:
-        return lambda texts: [[wide_fingerprint(t, size) for t in texts]]
+        def work(texts: list[bytes]) -> list[list]:
+            sets = [shingle_set(t, size) for t in texts]
+            return [[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [wide_fingerprint(h) for h in sets]]
+
+        return work
 
-    own = materialize(map_texts(keyed.withColumn("__t", key[1]), [id_col, "__r1", "__r2"], "__t", [T.StructField("wide", T.BinaryType())], make), "wide")
+    fields = [T.StructField("same", T.BinaryType()), T.StructField("wide", T.BinaryType())]
+    own = materialize(map_texts(keyed.withColumn("__t", key[1]), [id_col, "__r1", "__r2"], "__t", fields, make), "wide")
     rank = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__r1").alias("r1"), F.col("__r2").alias("r2"))
-    entries = materialize(own.groupBy("wide").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows")).withColumn("v", F.xxhash64("wide")), "entries")
+    entries = materialize(own.groupBy("same").agg(F.min(rank).alias("best"), F.min("wide").alias("wide")).withColumn("v", F.xxhash64("same")), "entries")
     found = materialize(near_links(entries), "near")
-    sure = components(found.where(F.col("d") <= SURE).select("u", "v"))
-    place = sure.select(F.col("u").alias("k"), F.col("v").alias("root"))
-    open_ = found.where(F.col("d") > SURE).join(place.withColumnsRenamed({"k": "u", "root": "ru"}), "u", "left").join(place.withColumnsRenamed({"k": "v", "root": "rv"}), "v", "left")
-    unsure = materialize(open_.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), "unsure")
-    checked = _verified(keyed, entries, unsure, text, size, least)
-    roots = components(sure.unionByName(checked))
+    place = components(found.select("u", "v")).select(F.col("u").alias("k"), F.col("v").alias("part"))
+    found = found.join(place, F.col("u") == F.col("k"), "left").select("u", "v", "d", F.coalesce("part", "u").alias("part"))
+    sets = _sets(keyed, entries, found, text, size)
+    checked = _verified(found.select("u", "v", "part"), sets, least)
+    roots = components(checked)
     placed = entries.join(roots.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").withColumn("root", F.coalesce("root", "v"))
     keepers = materialize(placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r1").alias("k1"), F.col("best.r2").alias("k2")), "keepers")
     kept = keyed.join(keepers.hint("merge"), (F.col("__r1") == F.col("k1")) & (F.col("__r2") == F.col("k2")), "left_semi")

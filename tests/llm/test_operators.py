@@ -108,6 +108,16 @@ def test_repeated_shingles_neither_join_nor_part_texts(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("seed", [59, 86])
+def test_links_displaced_by_a_failing_one_are_checked(spark, seed):
+    """Jaccard 0.786, 0.802 and 0.802; the first pair differs in the fewest bits, the last in the most."""
+    some = lambda k, n: [f"{k}{seed}x{i}" for i in range(n)]
+    core, ab, ac, bc = some("q", 80), some("d", 8), some("e", 9), some("f", 9)
+    texts = core + ab + ac + some("a", 3), core + ab + bc + some("b", 3), core + ac + bc + some("c", 2)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["doc_id"] for r in near_copies.one_of_each_group(d, size=1).collect()] == [0]
+
+
 def test_near_links_in_parts(spark):
     r = np.random.default_rng(0)
     rows = [(i, r.bytes(32)) for i in range(60)]

@@ -7,7 +7,9 @@ for a band with at most three differing bits. In each band one of four quarters
 is then equal, so a trie (one for each quarter, that quarter first) is walked only
 below nodes that share their first 8 bits. Pairs found are weighed by all 256
 bits; a task sends a minimum spanning forest of them. Texts with equal sets are
-one entry; every link between different sets is checked by exact Jaccard.
+one entry; every link between different sets is checked by exact Jaccard. Where a
+link fails and its ends stay apart, a second walk over the entries of that group
+sends all pairs between its parts, and those are checked too.
 
 Defined cases: texts without words are one group; a null id is kept only if its
 group has no other; repeated rows are copies of each other; an empty table gives
@@ -87,8 +89,18 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.n
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
+def _first_trie(x: np.ndarray) -> np.ndarray:
+    """The first trie in which a pair is found; ``x`` holds its differing bits by band."""
+    first = np.full(len(x), -1)
+    for band in range(2 * LANES - 1, -1, -1):
+        for quarter in range(3, -1, -1):
+            own = (np.bitwise_count(x[:, band]) <= BAND_BUDGET) & ((x[:, band] >> np.uint32(24 - 8 * quarter)) & np.uint32(255) == 0)
+            first[own] = band * 4 + quarter
+    return first
+
+
 def _tries(entries: DataFrame) -> DataFrame:
-    """(t, p, fp, v, wide): each entry once for every band and quarter."""
+    """(t, p, fp, v, wide, part, root): each entry once for every band and quarter."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,18 +110,19 @@ def _tries(entries: DataFrame) -> DataFrame:
                     x, turn = wide[:, band], np.uint32(8 * quarter)
                     x = (x << turn) | (x >> np.uint32(32 - 8 * quarter)) if quarter else x
                     n = len(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, band * 4 + quarter, np.int32)), pa.array((x >> np.uint32(24)).astype(np.int32)), pa.array(x.astype(np.int64)), batch.column(0), batch.column(1)], names=["t", "p", "fp", "v", "wide"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, band * 4 + quarter, np.int32)), pa.array((x >> np.uint32(24)).astype(np.int32)), pa.array(x.astype(np.int64)), *batch.columns], names=["t", "p", "fp", "v", "wide", "part", "root"])
 
-    return entries.select("v", "wide").mapInArrow(mapped, "t int, p int, fp long, v long, wide binary")
+    return entries.select("v", "wide", "part", "root").mapInArrow(mapped, "t int, p int, fp long, v long, wide binary, part long, root long")
 
 
-def near_links(entries: DataFrame, node_entries: int = NODE_ENTRIES) -> DataFrame:
+def near_links(entries: DataFrame, node_entries: int = NODE_ENTRIES, apart: bool = False) -> DataFrame:
     """(u, v, d): spanning forests of the pairs in reach; d of 256 bits differ.
 
+    With ``apart``, all pairs of one ``part`` and different ``root``, each once.
     A node with over ``node_entries`` entries is dealt into parts, and each pair
     of parts meets in a task of its own.
     """
-    tries = _tries(entries)
+    tries = _tries(entries if apart else entries.withColumns({"part": F.lit(0).cast("long"), "root": F.lit(0).cast("long")}))
     nodes = tries.groupBy("t", "p").count()
     full = materialize(nodes.where(F.col("count") > node_entries).select(F.col("t").alias("ft"), F.col("p").alias("fp_"), F.ceil(F.col("count") / node_entries).cast("int").alias("m")), "full")
     many = full.agg(F.coalesce(F.max("m"), F.lit(1))).first()[0]
@@ -129,14 +142,51 @@ def near_links(entries: DataFrame, node_entries: int = NODE_ENTRIES) -> DataFram
         b = order[c[order] != c.min()] if split else order
         i, j = pairs_within(fp[a], fp[b], BAND_BUDGET, not split, 8, 0)
         i, j = a[i], b[j]
-        d = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
-        near = (d <= CLOSE) & (i != j)
-        i, j, d = i[near], j[near], d[near]
-        keep = spanning_forest(i, j, d, len(fp))
+        part, root, t = table.column("part").to_numpy(), table.column("root").to_numpy(), table.column("t")[0].as_py() if len(c) else 0
+        kept = [np.zeros((3, 0), np.int64)]
+        for k in range(0, len(i), 1 << 20):
+            x, y = i[k : k + (1 << 20)], j[k : k + (1 << 20)]
+            if apart:
+                own = (part[x] == part[y]) & (root[x] != root[y])
+                x, y = x[own], y[own]
+            bits = wide[x] ^ wide[y]
+            d = np.bitwise_count(bits).sum(1, dtype=np.int64)
+            near = (d <= CLOSE) & (x != y)
+            if apart:
+                near &= _first_trie(bits.view("<u4")) == t
+            kept.append(np.stack((x[near], y[near], d[near])))
+        i, j, d = np.concatenate(kept, 1)
+        rank = np.empty(len(v), np.int64)
+        rank[np.argsort(v)] = np.arange(len(v))  # ties go by v, so that nodes send the same pairs
+        keep = slice(None) if apart else spanning_forest(np.minimum(rank[i], rank[j]), np.maximum(rank[i], rank[j]), d, len(v))
         return pa.table({"u": v[i[keep]], "v": v[j[keep]], "d": d[keep].astype(np.int32)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.int32())]))
 
-    found = dealt.select("t", "p", "i", "j", "c", "fp", "v", "wide").groupBy("t", "p", "i", "j").applyInArrow(walk, "u long, v long, d int")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d").distinct()
+    found = dealt.select("t", "p", "i", "j", "c", "fp", "v", "wide", "part", "root").groupBy("t", "p", "i", "j").applyInArrow(walk, "u long, v long, d int")
+    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d")
+    return found if apart else found.distinct()
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    """Links (u, v, d, part) that still join what all of them join, cheapest first."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                u, v, d = (t.column(c).to_numpy() for c in ("u", "v", "d"))
+                names, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+                yield from t.take(pa.array(np.sort(spanning_forest(at[: len(u)], at[len(u) :], d, len(names))))).to_batches()
+                held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) > 1 << 20:
+                yield from sent()
+        yield from sent()
+
+    return links.repartition("part").sortWithinPartitions("part").mapInArrow(mapped, links.schema)
 
 
 def _sets(docs: DataFrame, entries: DataFrame, links: DataFrame, text: str, size: int) -> DataFrame:
@@ -195,9 +245,18 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     found = materialize(near_links(entries), "near")
     place = components(found.select("u", "v")).select(F.col("u").alias("k"), F.col("v").alias("part"))
     found = found.join(place, F.col("u") == F.col("k"), "left").select("u", "v", "d", F.coalesce("part", "u").alias("part"))
-    sets = _sets(keyed, entries, found, text, size)
-    checked = _verified(found.select("u", "v", "part"), sets, least)
-    roots = components(checked)
+    tree = materialize(_thinned(found).select("u", "v", "part"), "tree")
+    passed = materialize(_verified(tree, _sets(keyed, entries, tree, text, size), least), "passed")
+    roots = components(passed)
+    # A pair that no forest sent is settled unless a link on its forest path failed: walk such groups again.
+    root = roots.select(F.col("u").alias("rk"), F.col("v").alias("root"))
+    failed = tree.join(passed, ["u", "v"], "left_anti").select("part").distinct()
+    members = place.select("k", "part").unionByName(place.select(F.col("part").alias("k"), "part").distinct()).join(failed, "part", "left_semi")
+    again = materialize(entries.join(members, F.col("v") == F.col("k")).join(root, F.col("v") == F.col("rk"), "left").select("v", "best", "wide", "part", F.coalesce("root", "v").alias("root")), "again")
+    if not again.isEmpty():
+        pairs = near_links(again, apart=True).join(tree.select("u", "v"), ["u", "v"], "left_anti").join(again.select(F.col("v").alias("k"), "part"), F.col("u") == F.col("k"))
+        pairs = materialize(pairs.select("u", "v", "part"), "apart")
+        roots = components(passed.unionByName(_verified(pairs, _sets(keyed, again, pairs, text, size), least)))
     placed = entries.join(roots.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").withColumn("root", F.coalesce("root", "v"))
     keepers = materialize(placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r1").alias("k1"), F.col("best.r2").alias("k2")), "keepers")
     kept = keyed.join(keepers.hint("merge"), (F.col("__r1") == F.col("k1")) & (F.col("__r2") == F.col("k2")), "left_semi")

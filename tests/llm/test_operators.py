@@ -374,6 +374,15 @@ def test_urls(spark):
     assert urls.judge(pages.where("page_id in (6, 7)")).where("verdict = 'allow'").count() == 2
 
 
+def test_host_labels_are_split_by_words_of_the_text(spark):
+    html = '<p class="cheapcasino">cheap flights, a casino and CheapCasino</p> see https://cheapcasino.biz/cheapcasino or cheapcasino.biz'
+    rows = [(i, f"http://cheapcasino.biz/{i}", html) for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    words = urls.word_counts(pages, ["html"]).join(urls.host_labels(pages, "url"), "word", "left_anti")
+    assert urls.Segmenter(dict(words.collect())).split("cheapcasino") == ["cheap", "casino"]
+    assert urls.judge(pages).where("verdict = 'allow'").count() == 0  # for the seed word inside the label
+
+
 def test_viterbi_is_the_best_split():
     cut = urls.Segmenter({"spam": 50, "farm": 40, "far": 10, "ms": 5, "pamfa": 1})
 

@@ -342,6 +342,13 @@ def test_decontamination(spark, docs, empty, cases):
     assert decontam.overlaps(empty, bench).count() == 0 and decontam.overlaps(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_benchmark_items_without_an_id(spark):
+    passage = " ".join(f"w{j}" for j in range(20))
+    docs = spark.createDataFrame([(1, f"head {passage} tail"), (2, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, "w1 w2"), (7, "w3 w4")], "item_id long, text string")
+    assert table(decontam.overlaps(docs, bench), "doc_id", "n_hit", "items", "contaminated") == [(1, 20, ["7"], True), (2, 0, [], False)]
+
+
 def test_fm_index():
     r = np.random.default_rng(0)
     s = r.integers(1, 5, 500)

@@ -8,8 +8,9 @@ backward at once through its ranks; occurrences are located by walking to the
 next sampled suffix position; the word spans found are merged for each document.
 
 Defined cases: null texts and texts without words have no words, no hits and no
-items; an item without words is never found; equal items each count; repeated
-rows are handled row by row; empty tables give empty results or no hits.
+items; an item without words is never found; equal items each count; an item with
+a null id marks words and documents like any other but is not named in items;
+repeated rows are handled row by row; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ class FMIndex:
 class Phrases:
     """Windows of the benchmark, by length, over numbered words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.ids: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
         by: dict[int, dict[tuple[int, ...], list[int]]] = {}
@@ -200,7 +201,7 @@ class Phrases:
             else:
                 own.append((a, b))
         for d, own in merged.items():
-            out[d] = own, sorted(self.names[k] for k in found[d])
+            out[d] = own, sorted(self.names[k] for k in found[d] if self.names[k] is not None)
         return out
 
 
@@ -216,7 +217,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{item_text}`"))), F.lit(0))).first()[0]
     if size > MAX_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; pass it in parts of {MAX_BENCHMARK_BYTES}")
-    items = sorted((str(r[0]), (r[1] or "").encode()) for r in benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).collect() if r[0] is not None)
+    items = [(None if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).collect()]
+    items.sort(key=lambda x: (x[0] is None, x[0] or "", x[1]))
     sent = spark.sparkContext.broadcast(items)
     fields = [
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),

@@ -39,3 +39,12 @@ def test_entry(spark, tables):
 
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_multiclass_fit_takes_every_dimension(spark, tables, monkeypatch):
+    from thicket.plans import queries
+
+    seen, fit = [], queries.Booster.fit
+    monkeypatch.setattr(queries.Booster, "fit", lambda frame, *a, **k: seen.append(frame) or fit(frame, *a, **k))
+    assert QUERIES["multiclass_fit"](spark, tables).count() > 0
+    assert len(seen[0].features) == 64

@@ -470,8 +470,10 @@ def early_stop_fit(spark: SparkSession, d: str) -> DataFrame:
 @query("multiclass_fit")
 def multiclass_fit(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/embeddings.parquet")
-    df = t.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(6)])
-    model = Booster.fit(Frame(df, tuple(f"e{i}" for i in range(6))), params(objective="multi:softprob", num_class=10, num_trees=2, max_depth=2), metrics=("mlogloss", "merror"), strategy="local")
+    size = t.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    names = tuple(f"e{i}" for i in range(size))
+    df = t.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    model = Booster.fit(Frame(df, names), params(objective="multi:softprob", num_class=10, num_trees=2, max_depth=2), metrics=("mlogloss", "merror"), strategy="local")
     return _history(model, spark)
 
 

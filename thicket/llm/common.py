@@ -6,9 +6,10 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +80,25 @@ def heaviest(df: DataFrame, n: str, most: int) -> DataFrame:
     return df.where(F.lit(False)) if least is None else df.where(step >= least)
 
 
+#: Keys with over one HOT-th of all rows are hot: there are fewer than HOT of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, left: list[str], right: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose keys ``right`` are distinct.
+
+    Column ``n`` of ``table`` says how many of ``rows`` a key has; it is dropped.
+    A hot key's rows stay where they are: fewer than HOT rows of ``table`` are
+    broadcast for them. Only the others are shuffled.
+    """
+    least = (table.agg(F.sum(n)).first()[0] or 0) / HOT
+    names = [c for c in table.columns if c != n]
+    met = reduce(Column.__and__, [F.col(f"`{x}`") == F.col(f"`{y}`") for x, y in zip(left, right, strict=True)])
+    hot, rest = table.where(F.col(n) > least).select(*names), table.where(F.col(n) <= least).select(*names)
+    cold = rows.join(F.broadcast(hot.select(*right)), met, "left_anti")
+    return rows.join(F.broadcast(hot), met).unionByName(cold.join(rest.hint("merge"), met))
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of every value; a null text counts as empty."""
     if isinstance(column, pa.ChunkedArray):

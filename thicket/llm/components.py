@@ -8,17 +8,34 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 
+#: A vertex's links are dealt over this many keys, so that the hub of a large
+#: component is work for many tasks.
+DEAL = 64
+
+
+def _lowest(links: DataFrame) -> DataFrame:
+    """Each link (u, v) with m, the smallest neighbour of u.
+
+    The minimum is taken for each (u, share of u's links) first. Only shares that
+    have links get a copy of the result, so no copy is made in vain.
+    """
+    dealt = links.withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(DEAL)).cast("int"))
+    parts = dealt.groupBy("u", "deal").agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("deal").alias("deals"))
+    low = low.select(F.col("u").alias("k"), "m", F.explode("deals").alias("share"))
+    return dealt.join(low.hint("merge"), (F.col("u") == F.col("k")) & (F.col("deal") == F.col("share"))).select("u", "v", "m")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _lowest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-    moved = down.join(low.hint("merge"), F.col("u") == F.col("k")).select("u", "v", "m")
-    return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+    moved = _lowest(down)
+    # A link to the smallest neighbour stays; the other neighbours link to it.
+    return moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _state(links: DataFrame) -> tuple:

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize
+from .common import join_hot, map_texts, materialize
 from .components import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Entries of a trie node that is one block of work.
-NODE_ENTRIES = 2048
+NODE_ENTRIES = 4096
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -198,42 +198,54 @@ def links(entries: DataFrame, budget: int = BUDGET, node_entries: int = NODE_ENT
     pairs = node_pairs(nodes, budget, head, head_budget)
     if pairs is None:
         return entries.sparkSession.createDataFrame([], "u long, v long")
-    one = nodes.select(F.col("t"), F.col("depth").alias("d1"), F.col("prefix").alias("p1"), F.col("entries").alias("e1"))
-    two = nodes.select(F.col("t"), F.col("depth").alias("d2"), F.col("prefix").alias("p2"), F.col("entries").alias("e2"))
-    work = pairs.join(one.hint("merge"), ["t", "d1", "p1"]).join(two.hint("merge"), ["t", "d2", "p2"])
+    # A node goes once to each pair that it is part of, by one exchange; its two
+    # halves then lie next to each other.
     same = (F.col("d1") == F.col("d2")) & (F.col("p1") == F.col("p2"))
+    pair = F.struct(F.xxhash64("t", "d1", "p1", "d2", "p2").alias("g"), "d1", "p1", "d2", "p2", same.alias("own"))
+    first = pairs.select("t", F.col("d1").alias("depth"), F.col("p1").alias("prefix"), pair.alias("pair"), F.lit(0).alias("side"))
+    second = pairs.where(~same).select("t", F.col("d2").alias("depth"), F.col("p2").alias("prefix"), pair.alias("pair"), F.lit(1).alias("side"))
+    reach = first.unionByName(second).select(F.col("t").alias("rt"), F.col("depth").alias("rd"), F.col("prefix").alias("rp"), "pair", "side")
+    met = (F.col("t") == F.col("rt")) & (F.col("depth") == F.col("rd")) & (F.col("prefix") == F.col("rp"))
+    halves = nodes.join(reach.hint("merge"), met).select("t", "pair.*", "side", "entries")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = np.uint64(32)
+        half, held, key = np.uint64(32), None, None
         for batch in batches:
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for e1, e2, own, t in zip(batch.column(0), batch.column(1), *[batch.column(k).to_pylist() for k in (2, 3)], strict=True):
-                a = np.sort(np.asarray(e1.values).view(np.uint64))
-                b = a if own else np.sort(np.asarray(e2.values).view(np.uint64))
+            names = list(zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True))
+            for name, own, side, entries in zip(names, batch.column(6).to_pylist(), batch.column(7).to_pylist(), batch.column(8), strict=True):
+                x = np.sort(np.asarray(entries.values).view(np.uint64))
+                if side == 0:
+                    held, key = x, name
+                    if not own:
+                        continue
+                if key != name:
+                    raise ValueError("half of a pair of nodes is missing")
+                a, b = held, x
                 i, j = pairs_within(a, b, budget, own, head, head_budget)
                 ok = a[i] != b[j]
                 if ok.any():
                     x, y = a[i[ok]], b[j[ok]]
-                    if t:
+                    if name[0]:
                         x, y = (x << half) | (x >> half), (y << half) | (y >> half)
                     u, v = _forest(x.view(np.int64), y.view(np.int64))
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return work.select("e1", "e2", same.alias("own"), "t").repartition(max(n, 8)).mapInArrow(walk, "u long, v long")
+    work = halves.select("t", "g", "d1", "p1", "d2", "p2", "own", "side", "entries").repartition("g").sortWithinPartitions("g", "t", "d1", "p1", "d2", "p2", "side")
+    return work.mapInArrow(walk, "u long, v long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The id, fp (long) and component_id: the smallest id in reach, itself included."""
     own = materialize(fingerprints(docs, [id_col], text, size), "fp")
-    entries = materialize(own.groupBy("fp").agg(F.min(f"`{id_col}`").alias("low")), "entries")
+    entries = materialize(own.groupBy("fp").agg(F.min(f"`{id_col}`").alias("low"), F.count(F.lit(1)).alias("n")), "entries")
     roots = components(links(entries, budget))
     placed = entries.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    table = materialize(placed.select("fp", "root").join(lowest, "root").select(F.col("fp").alias("__fp"), "component_id"), "placed")
-    return own.join(table.hint("merge"), F.col("fp") == F.col("__fp")).drop("__fp")
+    table = placed.select("fp", "root", "n").join(lowest, "root").select(F.col("fp").alias("__fp"), "component_id", F.col("n").alias("__n"))
+    return join_hot(own, materialize(table, "placed"), ["fp"], ["__fp"], "__n").drop("__fp")
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe_codec, brown_lm, decontam, lines, media, near_copies, quality, repeats, simhash, token_counts, urls
+from thicket.llm import bpe_codec, brown_lm, decontam, lines, media, near_copies, passages, quality, repeats, simhash, token_counts, urls
 
 
 def table(df, *cols):
@@ -198,6 +198,33 @@ def test_repeats(docs, cases, monkeypatch, group, array, batches):
     assert table(out, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == brute_repeats(cases, repeats.LENGTH)
 
 
+def brute_shared(cases, n):
+    """Rows (by id and text) with a string of n words that another such row has."""
+    held = defaultdict(set)
+    for k in set(cases):
+        w = (k[1] or "").encode().split()
+        for p in range(len(w) - n + 1):
+            held[tuple(w[p : p + n])].add(k)
+    return {k for own in held.values() if len(own) > 1 for k in own}
+
+
+@pytest.mark.parametrize("group", [1 << 16, 1])
+def test_shared_passages(spark, cases, docs, empty, monkeypatch, group):
+    monkeypatch.setattr(passages, "GROUP", group)
+    r = np.random.default_rng(7)
+    word = lambda n: " ".join("".join(r.choice(list("abcdefgh"), 4)) for _ in range(n))
+    rows = list(cases)
+    for n in (49, 50, 51, 52, 70):
+        own = word(n)
+        rows += [(5000 + 10 * n + k, f"{word(30 * k)} {own} {word(40 - 20 * k)}".strip()) for k in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = repeats.remove_repeats(d, shared=passages.shared_passages(d))
+    want = brute_shared(rows, passages.WORDS)
+    got = Counter((x["doc_id"], x["n_shared"] > 0) for x in out.collect())
+    assert got == Counter((k[0], k in want) for k in rows)
+    assert passages.shared_passages(empty).count() == 0
+
+
 def test_repeats_empty_and_short(spark, empty):
     assert repeats.remove_repeats(empty).count() == 0
     r = np.random.default_rng(1)

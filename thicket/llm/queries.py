@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, brown_lm, decontam, lines, media, quality, repeats, simhash, token_counts, urls
+from . import bpe_codec, brown_lm, decontam, lines, media, passages, quality, repeats, simhash, token_counts, urls
 from .common import documents, tokenizer_path
 
 
@@ -30,8 +30,9 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.remove_repeats(documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = documents(spark, sf_dir)
+    out = repeats.remove_repeats(docs, shared=passages.shared_passages(docs))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
 
 
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,12 +283,18 @@ def _edge_windows(parts: DataFrame, length: int) -> DataFrame:
     return one.unionByName(places.select("a", "s", "i").mapInArrow(merged, schema))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans and spans."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES, shared: DataFrame | None = None) -> DataFrame:
+    """id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans and spans.
+
+    ``shared`` (r1, r2, n_shared), if given, adds its last column, 0 for other rows.
+    """
     spans = removal_spans(docs, id_col, text, length, anchor, batches)
+    also = [] if shared is None else ["n_shared"]
+    if shared is not None:
+        spans = spans.join(shared.hint("merge"), ["r1", "r2"], "full")
     spans = spans.withColumnsRenamed({"r1": "s1", "r2": "s2"})
-    joined = _keyed(docs, id_col, text, [id_col]).join(spans.hint("merge"), (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2")), "left").select(F.col(f"`{id_col}`"), "__t", "spans")
-    schema = T.StructType([docs.schema[id_col], T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("spans", _SPANS)])
+    joined = _keyed(docs, id_col, text, [id_col]).join(spans.hint("merge"), (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2")), "left").select(F.col(f"`{id_col}`"), "__t", "spans", *[F.coalesce(c, F.lit(0)).alias(c) for c in also])
+    schema = T.StructType([docs.schema[id_col], T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("spans", _SPANS), *[T.StructField(c, T.LongType()) for c in also]])
     arrow_spans = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def mapped(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +316,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 numbers.append((len(t), len(t) - len(kept[-1]), len(merged)))
                 out.append([{"first": a, "end": b} for a, b in merged])
             arrays = [pa.array([x[k] for x in numbers], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *arrays, pa.array(out, arrow_spans)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *arrays, pa.array(out, arrow_spans), *batch.columns[3:]], names=schema.names)
 
     return joined.mapInArrow(mapped, schema)

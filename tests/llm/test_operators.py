@@ -408,6 +408,29 @@ def test_urls(spark):
     assert urls.judge(pages.where("page_id in (6, 7)")).where("verdict = 'allow'").count() == 2
 
 
+def test_url_verdicts_by_plain_naive_bayes(spark):
+    """Segments, counts and log odds of every row again, in plain Python."""
+    hosts = ["cheapcasino.biz", "win-casino.org", "gardentools.net", "www.oldmaps.org", "m.bets-free.example.com", "x" * 300 + ".net"]
+    text = "cheap win garden tools old maps free the casino bets and the garden of old tools for maps " * 3
+    rows = [(i, f"http://{hosts[i % 6]}/{['en', 'fr', 'shop/cheap'][i % 3]}/{i * 37}" + "/a" * (4000 * (i == 7)), f"<p>{text}</p>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    words = Counter(re.findall("[a-z]+", text * 60))
+    labels = {x for h in hosts for x in re.findall("[a-z]+", h)}
+    known = {w: n for w, n in words.items() if len(w) > 1 and w not in labels}
+    known = dict.fromkeys(urls.SEEDS, sum(known.values()) // len(known)) | known
+    cut, counts, size = urls.Segmenter(known), {True: Counter(), False: Counter()}, 1 << 16
+    tokens = [cut.tokens(*re.match(r"http://([^/]*)(.*)", u).groups()) for _, u, _ in rows]
+    for t in tokens:
+        counts[any(x.split(":")[-1] in urls.SEEDS for x in t)].update(zlib.crc32(x.encode()) % size for x in t)
+    kinds = len(counts[True] | counts[False]) + 1
+    log = lambda k, b: math.log((counts[k][b] + 0.5) / (sum(counts[k].values()) + 0.5 * kinds))
+    want = [sum(log(True, b) - log(False, b) for b in (zlib.crc32(x.encode()) % size for x in t)) for t in tokens]
+    got = urls.judge(pages).orderBy("page_id").collect()
+    assert np.allclose([r["log_odds"] for r in got], want)
+    assert [r["verdict"] for r in got if r["rule"] is None] == ["block" if w > 0 else "allow" for w, r in zip(want, got) if r["rule"] is None]
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
+
+
 def test_host_labels_are_split_by_words_of_the_text(spark):
     html = '<p class="cheapcasino">cheap flights, a casino and CheapCasino</p> see https://cheapcasino.biz/cheapcasino or cheapcasino.biz'
     rows = [(i, f"http://cheapcasino.biz/{i}", html) for i in range(50)]

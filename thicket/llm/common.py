@@ -29,13 +29,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session decides; only where it is unset (a
-    single-machine test) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` of the session decides; where it is unset, a session
+    on one machine (a test) takes a temporary folder and a cluster raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="thicket-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -67,7 +69,8 @@ def heaviest(df: DataFrame, n: str, most: int) -> DataFrame:
 
     Rows are counted by the order of magnitude of ``n`` (16 steps an octave, so about
     a thousand numbers reach the driver), and whole steps are taken from the top. A
-    sort with a limit would send ``most`` rows from every partition instead.
+    sort with a limit would send ``most`` rows from every partition instead. If the
+    top step alone has too many rows, shares of it by a hash are taken.
     """
     step = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
     sizes = dict(df.groupBy(step.alias("step")).count().collect())
@@ -77,7 +80,15 @@ def heaviest(df: DataFrame, n: str, most: int) -> DataFrame:
         if taken > most:
             break
         least = k
-    return df.where(F.lit(False)) if least is None else df.where(step >= least)
+    if least is not None or not sizes:
+        return df.where(F.lit(False)) if least is None else df.where(step >= least)
+    top, share = df.where(step == max(sizes)), F.pmod(F.xxhash64(*df.columns), F.lit(4096))
+    taken, shares = 0, []
+    for k, size in sorted(top.groupBy(share.alias("share")).count().collect()):  # at most 4096
+        if taken + size <= most:
+            taken += size
+            shares.append(k)
+    return top.where(share.isin(shares))
 
 
 #: Keys with over one HOT-th of all rows are hot: there are fewer than HOT of them.
@@ -124,8 +135,10 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
 
     ``make()`` runs once in each task and returns a function from a run of texts
     (UTF-8, null as empty) to one list for each field. Other columns of ``df``
-    are not read, so their names can't clash.
+    are not read, so their names can't clash; a kept column with the name of a
+    field gives way to it.
     """
+    keep = [c for c in keep if c not in {f.name for f in fields}]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     arrow = _arrow_types(fields)
 

@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from .common import runs, text_bytes
 
 WINDOW = 13
-#: The benchmark travels to every worker; beyond this many UTF-8 bytes the call
-#: fails, and the caller passes the benchmark in several calls.
-MAX_BENCHMARK_BYTES = 256 << 20
+#: The benchmark travels to the workers in parts of about this many UTF-8 bytes (a
+#: longer item is a part of its own); each further part is a pass over the texts.
+PART_BYTES = 16 << 20
 SHARD_BYTES = 8 << 20
 SAMPLE_EVERY = 8
 
@@ -205,7 +205,18 @@ class Phrases:
         return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Adds to the ``keep`` columns of ``docs`` (all by default) what was found.
 
     n_words and n_hit (long), spans (array of first and last-plus-one byte of the
@@ -214,42 +225,58 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     names are replaced.
     """
     spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{item_text}`"))), F.lit(0))).first()[0]
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; pass it in parts of {MAX_BENCHMARK_BYTES}")
-    items = [(None if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).collect()]
-    items.sort(key=lambda x: (x[0] is None, x[0] or "", x[1]))
-    sent = spark.sparkContext.broadcast(items)
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("t"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    parts = size // part_bytes + 1
+    span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [
-        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", span),
         T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType()),
     ]
     new = {f.name for f in fields}
-    names = [c for c in (keep or docs.columns) if c not in new]
-    schema = T.StructType([docs.schema[c] for c in names] + fields)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    # Texts, word spans and items go from pass to pass under names of their own.
+    own = [T.StructField("__text", T.StringType()), T.StructField("__places", span), T.StructField("__items", T.ArrayType(T.StringType()))]
+    between, schema = T.StructType([docs.schema[c] for c in names] + own), T.StructType([docs.schema[c] for c in names] + fields)
+    kind, text_list = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+    out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"), F.lit(None).cast(span).alias("__places"), F.lit(None).cast("array<string>").alias("__items"))
+    for k in range(parts):
+        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
+        sent = spark.sparkContext.broadcast(sorted(((r["i"], r["t"].encode()) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1])))
+        out = out.mapInArrow(_pass(sent, len(names), window, kind, text_list, (schema if k == parts - 1 else between).names, k == parts - 1), schema if k == parts - 1 else between)
+    return out
+
+
+def _pass(sent, kept: int, window: int, kind: pa.DataType, text_list: pa.DataType, names: list[str], last: bool):
+    """Adds what one part of the benchmark finds; the last pass makes the result."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = None
         for batch in batches:
             phrases = phrases or Phrases(sent.value, window)
-            texts = text_bytes(batch.column(len(names)))
+            texts = text_bytes(batch.column(kept))
             for i, j in runs(map(len, texts), SHARD_BYTES):
                 words = [words_of(t) for t in texts[i:j]]
-                n_words = [len(w) for w in words]
-                n_hit, spans, found = [], [], []
-                for t, own in zip(texts[i:j], phrases.hits(words), strict=True):
-                    places, items = own or ([], [])
-                    at = [m.span() for m in _LETTER.finditer(t.lower())] if places else []
-                    n_hit.append(sum(b - a for a, b in places))
-                    spans.append([{"first": at[a][0], "end": at[b - 1][1]} for a, b in places])
-                    found.append(items)
-                bad = [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)]
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-                made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string())), pa.array(bad, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(len(names))], *made], names=schema.names)
-
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(mapped, schema)
+                before = zip(*[batch.column(kept + k).slice(i, j - i).to_pylist() for k in (1, 2)], strict=True)
+                places, found = [], []
+                for old, now in zip(before, phrases.hits(words), strict=True):
+                    now = now or ([], [])
+                    places.append(_union([(x["first"], x["end"]) for x in old[0] or ()] + now[0]))
+                    found.append(sorted((old[1] or []) + now[1]))
+                columns = [batch.column(k).slice(i, j - i) for k in range(kept)]
+                if last:
+                    n_words, n_hit = [len(w) for w in words], [sum(b - a for a, b in own) for own in places]
+                    spans = []
+                    for t, own in zip(texts[i:j], places, strict=True):
+                        at = [m.span() for m in _LETTER.finditer(t.lower())] if own else []
+                        spans.append([{"first": at[a][0], "end": at[b - 1][1]} for a, b in own])
+                    bad = [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)]
+                    columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array(found, text_list), pa.array(bad, pa.bool_())]
+                else:
+                    columns += [batch.column(kept).slice(i, j - i), pa.array([[{"first": a, "end": b} for a, b in own] for own in places], kind), pa.array(found, text_list)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return mapped
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, materialize, text_bytes
+from .common import ASCII_SPACE, join_hot, materialize, text_bytes
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -59,8 +59,7 @@ def dropped_hashes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     common = materialize(
         pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs), "common"
     )
-    common = common.select(F.col("h").alias("ch"), "keeper")
-    held = pairs.join(common.hint("merge"), F.col("h") == F.col("ch"))
+    held = join_hot(pairs, common.select(F.col("h").alias("ch"), "keeper", "n"), ["h"], ["ch"], "n")
     shared_ids = docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     if not shared_ids.isEmpty():
         sure = materialize(held.select("id", "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select(F.col("h").alias("sh")), "sure")

@@ -257,17 +257,65 @@ def test_brown_lm(docs, empty, cases):
     assert brown_lm.score(only, *brown_lm.train(empty)).first()["n_known"] == 0
 
 
+def test_brown_scores_again(docs, cases):
+    """Score, perplexity and n_once of every row from the words' classes, in plain Python."""
+    model, words = brown_lm.train(docs)
+    kind = {bytes(r["word"]): (r["c"], r["k"]) for r in words.collect()}
+    tokens = [[w if len(w) <= 40 else b" " + xxhash.xxh3_128_digest(w) for w in (t or "").encode().lower().split()] + [b""] for _, t in cases]
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in cases]
+    mass, kinds, cells = Counter(), Counter(), Counter()
+    for c, k in kind.values():
+        mass[k] += c
+        kinds[k] += 1
+    unknown = max(range(64), key=lambda k: (kinds[k], -k))
+    classes = [[kind.get(w, (0, unknown))[1] for w in t] for t in tokens]
+    end = kind[b""][1]
+    for c, h in zip(classes, held):
+        if not h:
+            cells.update(zip([end, *c], c))
+    total, rows = sum(mass.values()), Counter()
+    for (a, _), n in cells.items():
+        rows[a] += n
+    step = lambda a, b: math.log10((cells[a, b] + 5 * (mass[b] + 1) / (total + 64)) / (rows[a] + 5))
+    want = []
+    for (i, _), t, c in zip(cases, tokens, classes):
+        own = [kind.get(w, (0, 0))[0] for w in t]
+        s = sum(step(a, b) + math.log10(n + 0.1) - math.log10(mass[b] + 0.1 * (kinds[b] + 1)) for a, b, n in zip([end, *c], c, own))
+        want.append((i, round(s, 5), round(10 ** (-s / len(t)), 4), own.count(1)))
+    out = brown_lm.score(docs, model, words).withColumns({"s": F.round("score", 5), "p": F.round("perplexity", 4)})
+    assert table(out, "doc_id", "s", "p", "n_once") == sorted(want, key=repr)
+    both = brown_lm.train_and_score(docs).withColumns({"s": F.round("score", 5), "p": F.round("perplexity", 4)})
+    assert table(both, "doc_id", "s", "p", "n_once") == sorted(want, key=repr)
+
+
 def test_brown_probabilities_sum_to_one(docs):
-    model, counts = brown_lm.train(docs)
+    model, words = brown_lm.train(docs)
     assert np.allclose((10**model.step).sum(1), 1)
     mass = defaultdict(float)
-    to = brown_lm.Symbols(model.own)
-    for w, n in counts.collect():
-        mass[int(model.label[to[bytes(w)]])] += n + 0.1
+    for r in words.collect():
+        mass[r["k"]] += r["c"] + 0.1
     for k, m in mass.items():
         assert math.isclose((m + 0.1) / 10 ** model.below[k], 1, rel_tol=1e-9)  # 0.1 is the unknown word's
 
 
+def test_words_join_the_class_with_their_neighbours():
+    """Class k is followed by class k + 1: a word between 4 and 6 is of class 5."""
+    cells = np.ones((65, 65))
+    for k in range(64):
+        cells[k, (k + 1) % 64] = 500
+    cells[64, :64] = cells[:64, 64] = 300  # unclassed neighbours say nothing
+    near = [[bytes([k, (k + 2) % 64, k, 64])] for k in range(64)]
+    assert np.argmax(brown_lm.context_counts(near) @ brown_lm.joining_gain(cells), 1).tolist() == [(k + 1) % 64 for k in range(64)]
+
+
+@pytest.mark.parametrize("raw", [512, 2])
+def test_context_counts(monkeypatch, raw):
+    monkeypatch.setattr(brown_lm, "RAW_BYTES", raw)
+    near = [[bytes([1, 2, 1, 3])], [bytes([64, 0]), bytes([5, 6, 5, 6, 5, 7])]]
+    n = brown_lm.context_counts([[brown_lm._packed(x) for x in own] for own in near])
+    assert n[0, 1] == 2 and n[0, 65 + 2] == 1 and n[0, 65 + 3] == 1 and n[1, 64] == 1 and n[1, 65] == 1 and n[1, 5] == 3 and n[1, 65 + 6] == 2 and n.sum() == 12
+
+
 def test_exchange_finds_classes():
     r = np.random.default_rng(2)
     kind = np.arange(30) % 3
@@ -366,6 +414,8 @@ def test_decontamination(spark, docs, empty, cases):
     spans = {r["doc_id"]: (r["text"].encode(), r["spans"]) for r in out.where("doc_id = 302").collect()}[302]
     left = decontam.remove_spans(spans[0], [(s["first"], s["end"]) for s in spans[1]])
     assert b"shared9 " in left and b"shared10" not in left and b"shared39" not in left and b"shared40" in left
+    in_parts = decontam.overlaps(docs, bench, part_bytes=60)
+    assert in_parts.columns == out.columns and sorted(map(str, in_parts.collect())) == sorted(map(str, out.collect()))
     assert decontam.overlaps(empty, bench).count() == 0 and decontam.overlaps(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 

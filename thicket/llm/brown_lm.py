@@ -1,20 +1,23 @@
 """LM scoring with a Brown class-based bigram model.
 
-Frequent words are symbols of their own, all others share a symbol by a hash of
-their last bytes. Exchange clustering on the symbols' bigram counts puts symbols
-into classes so that the mutual information of neighbouring classes is high. A
-text's probability is the product of class-transition and word-emission
-probabilities, both smoothed.
-
-All counts cover every training text: word counts and symbol bigrams are summed
-in the tasks first and then grouped. Only bounded tables reach the driver or the
-workers (TABLE_WORDS words, SYMBOLS squared bigrams); the counts of rare words
-are joined to the texts that hold them.
+Classes come from exchange clustering in two steps. The OWN most frequent words are
+exchanged between classes on their bigram counts, so that the mutual information
+of neighbouring classes is high. Then every other training word is offered each
+class once, on the counts of the classes that stand before and after it in the
+whole training part (words x classes counts, which grow with the vocabulary), and
+takes the one that gains most. A text's probability is the product of
+class-transition and word-emission probabilities, both smoothed; transitions are
+counted over all training tokens, all words classed.
+
+All counts cover every training text. Only bounded tables reach the driver or the
+workers: TABLE_WORDS words with count and class, OWN squared bigrams, CLASSES
+squared transitions. Words beyond the table are joined to the texts that hold them.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as
 an empty string for the fold and keeps its row; repeated rows count and are scored
-row by row; with no training text every token is unknown; an empty table gives an
-empty result.
+row by row; a word that no training text has belongs to the class with the most
+different words; with no training text every token is unknown; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,16 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import heaviest, materialize, runs, text_bytes
 
 END = b""  # no word is empty
-#: Words of the broadcast table, words with a symbol of their own, shared symbols, classes.
-TABLE_WORDS, OWN, SHARED, CLASSES = 131_072, 1000, 32, 64
-SYMBOLS = OWN + SHARED
+#: Words of the broadcast table, words that are exchanged among themselves, classes.
+TABLE_WORDS, OWN, CLASSES = 131_072, 1000, 64
+#: The symbol of all words that aren't OWN, and what stands for their class as a neighbour.
+SYMBOLS, OTHER = OWN + 1, CLASSES
 LONGEST = 40
 ADD = 0.1
 
@@ -46,10 +50,6 @@ def words_of(text: bytes) -> list[bytes]:
     return [w if len(w) <= LONGEST else b" " + xxhash.xxh3_128_digest(w) for w in text.lower().split()]
 
 
-def shared_symbol(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-3:]) % SHARED
-
-
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
@@ -84,31 +84,98 @@ def bigrams(training: DataFrame, text: str, own: dict[bytes, int]) -> DataFrame:
     sent = training.sparkSession.sparkContext.broadcast(own)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, total = Symbols(sent.value), np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        get, total = sent.value.get, np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        end = get(END, OWN)
         for batch in batches:
             texts = text_bytes(batch.column(0))
             for i, j in runs(map(len, texts), 1 << 20):
-                seq = [to[END]]
+                seq = [end]
                 for t in texts[i:j]:
-                    seq += [to[w] for w in words_of(t)]
-                    seq.append(to[END])
+                    seq += [get(w, OWN) for w in t.lower().split()]
+                    seq.append(end)
                 s = np.array(seq, np.int64)
-                codes, n = np.unique(s[:-1] * SYMBOLS + s[1:], return_counts=True)
-                total[codes] += n
+                total += np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=len(total))
         codes = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes])], names=["code", "n"])
 
     return training.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mapped, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-class Symbols(dict):
-    """word -> symbol; words without one of their own get a shared one."""
+#: A task sends the neighbours of a word as bytes (class before, class after), or
+#: beyond this many bytes as a histogram behind a mark that is no class.
+RAW_BYTES, MARK = 512, b"\xff"
+
 
-    def __missing__(self, word: bytes) -> int:
-        s = shared_symbol(word)
-        if len(self) < 400_000:
-            self[word] = s
-        return s
+def _packed(pairs: bytes) -> bytes:
+    if len(pairs) <= RAW_BYTES:
+        return pairs
+    x = np.frombuffer(pairs, np.uint8)
+    both = np.concatenate((np.bincount(x[::2], minlength=CLASSES + 1), np.bincount(x[1::2], minlength=CLASSES + 1)))
+    return MARK + both.astype("<u4").tobytes()
+
+
+def neighbours(training: DataFrame, text: str, own_class: dict[bytes, int]) -> DataFrame:
+    """(word, near): the classes around each word that has no class yet, a row a task."""
+    sent = training.sparkSession.sparkContext.broadcast(own_class)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, end = sent.value.get, sent.value.get(END, OTHER)
+        seen: dict[bytes, bytes] = {}
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([_packed(x) for x in seen.values()], pa.binary())], names=["word", "near"])
+
+        for batch in batches:
+            for t in text_bytes(batch.column(0)):
+                tokens = words_of(t)
+                c = np.array([end, *[get(w, OTHER) for w in tokens], end], np.uint8)
+                at = np.flatnonzero(c == OTHER)
+                pairs = np.stack((c[at - 1], c[at + 1]), 1).tobytes()
+                size += len(pairs)
+                for k, p in enumerate((at - 1).tolist()):
+                    w = tokens[p]
+                    seen[w] = seen.get(w, b"") + pairs[2 * k : 2 * k + 2]
+                if len(seen) > 300_000 or size > 16 << 20:
+                    yield made()
+                    seen.clear()
+                    size = 0
+        if seen:
+            yield made()
+
+    return training.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mapped, "word binary, near binary")
+
+
+def context_counts(near: list[list[bytes]]) -> np.ndarray:
+    """For each word how often each class (and OTHER) is before it and after it."""
+    width = 2 * (CLASSES + 1)
+    out = np.zeros((len(near), width))
+    raw, owner = [], []
+    for i, parts in enumerate(near):
+        for x in parts:
+            if x[:1] == MARK:
+                out[i] += np.frombuffer(x[1:], "<u4")
+            else:
+                raw.append(x)
+                owner.append(i)
+    x = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    who = np.repeat(np.array(owner, np.int64), [len(r) // 2 for r in raw])
+    cells = np.concatenate((who * width + x[::2], who * width + CLASSES + 1 + x[1::2]))
+    return out + np.bincount(cells, minlength=out.size).reshape(out.shape)
+
+
+def joining_gain(cells: np.ndarray) -> np.ndarray:
+    """What a neighbour's count adds for each class (2 * (CLASSES + 1) x CLASSES).
+
+    The change of the classes' bigram likelihood to first order: a word joins a
+    class whose counts are far above its own. ``cells`` holds the classes' bigram
+    counts, OTHER included as the last.
+    """
+    smooth = cells + 0.1
+    rows, cols = np.log(smooth.sum(1)), np.log(smooth.sum(0))
+    before = np.log(smooth)[:, :CLASSES] - cols[None, :CLASSES]
+    after = np.log(smooth).T[:, :CLASSES] - rows[None, :CLASSES]
+    return np.concatenate((before, after))
 
 
 def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = 4) -> np.ndarray:
@@ -172,100 +239,199 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = 4) -> np.
 class Model:
     """What the workers need: bounded tables only."""
 
-    def __init__(self, table: dict[bytes, int], own: dict[bytes, int], total: int, distinct: int, matrix: np.ndarray, kinds: np.ndarray, label: np.ndarray):
-        self.table, self.own, self.total, self.distinct, self.label = table, own, total, distinct, label
-        one = np.zeros((SYMBOLS, CLASSES))
-        one[np.arange(SYMBOLS), label] = 1
-        cells = one.T @ matrix @ one
-        mass, kinds_of = one.T @ matrix.sum(0), one.T @ kinds
-        apart = (mass + 1) / (mass.sum() + CLASSES)
-        follow = (cells + 5 * apart[None, :]) / (cells.sum(1, keepdims=True) + 5)
-        #: log10 of a symbol's step and, less the word's own count, of its emission
-        self.step = np.log10(follow)
-        self.below = np.log10(mass + ADD * (kinds_of + 1))
+    def __init__(self, table: list[tuple[bytes, int, int]], total: int, distinct: int):
+        self.table, self.total, self.distinct = table, total, distinct  # word, count, class
+        self.mass, self.kinds, self.cells = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros((CLASSES, CLASSES))
 
+    @property
+    def unknown(self) -> int:
+        """The class of words without a class of their own."""
+        return int(np.argmax(self.kinds))
 
-def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table (word, c) of all training words."""
-    spark = docs.sparkSession
-    training = docs.where(~held_out(F.col(f"`{id_col}`")))
-    counts = materialize(word_counts(training, text), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = heaviest(counts, "c", TABLE_WORDS).toArrow()  # words of at most LONGEST bytes
+    @property
+    def step(self) -> np.ndarray:
+        """log10 of the probability of a class after a class."""
+        apart = (self.mass + 1) / (self.mass.sum() + CLASSES)
+        return np.log10((self.cells + 5 * apart[None, :]) / (self.cells.sum(1, keepdims=True) + 5))
+
+    @property
+    def below(self) -> np.ndarray:
+        """log10 of what a word's count is divided by in its class."""
+        return np.log10(self.mass + ADD * (self.kinds + 1))
+
+
+def word_classes(training: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """(word, c, k): count and class of every training word."""
+    spark = training.sparkSession
+    top = heaviest(counts, "c", 16 * OWN).toArrow()
     top = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    names, n = [w for _, w in top], [c for c, _ in top]
-    own = {w: i for i, w in enumerate(names[:OWN])}
-    if END not in own:
-        own = {w: i for w, i in own.items() if i < OWN - 1} | {END: min(len(own), OWN - 1)}
-    pairs = bigrams(training, text, own).toArrow()  # at most SYMBOLS squared
+    ends = training.count()  # one end token each
+    own = ([(ends, END)] if ends else []) + [x for x in top if x[1] != END][: OWN - 1]
+    place = {w: i for i, (_, w) in enumerate(own)}
+    pairs = bigrams(training, text, place).toArrow()  # at most SYMBOLS squared
     matrix = np.zeros(SYMBOLS * SYMBOLS)
     matrix[pairs.column("code").to_numpy()] = pairs.column("n").to_numpy()
     matrix = matrix.reshape(SYMBOLS, SYMBOLS)
-    return Model(dict(zip(names, n, strict=True)), own, total, distinct, matrix, _kinds(counts, own), exchange(matrix)), counts
+    label = np.append(exchange(matrix[:OWN, :OWN]), OTHER)
+    one = np.zeros((SYMBOLS, CLASSES + 1))
+    one[np.arange(SYMBOLS), label] = 1
+    gain = joining_gain(one.T @ matrix @ one)
 
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                n = context_counts(part.column(1).to_pylist())
+                k = np.argmax(n @ gain, 1).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n[:, : CLASSES + 1].sum(1).astype(np.int64)), pa.array(k)], names=["word", "c", "k"])
 
-def _kinds(counts: DataFrame, own: dict[bytes, int]) -> np.ndarray:
-    """Distinct training words of each symbol."""
+    near = neighbours(training, text, {w: int(label[i]) for w, i in place.items()})
+    others = near.groupBy("word").agg(F.collect_list("near").alias("near")).mapInArrow(classed, "word binary, c long, k short")
+    frequent = spark.createDataFrame([(bytearray(w), c, int(label[place[w]])) for c, w in own], "word binary, c long, k short")
+    return materialize(others.unionByName(frequent), "classes")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
+    """The model and the table (word, c, k) of all training words."""
+    model, words, _ = _trained(docs, id_col, text, False)
+    return model, words
+
+
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`score` of all rows by a model of the rows that aren't held out."""
+    model, _, coded = _trained(docs, id_col, text, True)
+    return _scored(coded, model, id_col)
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SYMBOLS, np.int64)
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                if w not in own:
-                    seen[shared_symbol(w)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(OWN, SYMBOLS, dtype=np.int32)), pa.array(seen[OWN:])], names=["s", "n"])
-
-    out = np.zeros(SYMBOLS)
-    out[list(own.values())] = 1
-    for s, n in counts.select("word").mapInArrow(mapped, "s int, n long").groupBy("s").agg(F.sum("n")).collect():  # SHARED rows
-        out[s] = n
-    return out
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.own, model.table, model.label, model.step, model.below))
-    rare_kind = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
-    schema = T.StructType([docs.schema[id_col], *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")], *[T.StructField(n, T.DoubleType()) for n in ("counted", "below")], T.StructField("rare", rare_kind)])
-    arrow_rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+
+def _trained(docs: DataFrame, id_col: str, text: str, code_all: bool) -> tuple[Model, DataFrame, DataFrame]:
+    training = docs.where(~held_out(F.col(f"`{id_col}`")))
+    counts = materialize(word_counts(training, text), "words")
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    words = word_classes(training, text, counts)
+    table = heaviest(words, "c", TABLE_WORDS).collect()
+    model = Model([(bytes(r["word"]), r["c"], r["k"]) for r in table], total, distinct)
+    for k, c, n in words.groupBy("k").agg(F.sum("c"), F.count(F.lit(1))).collect():  # CLASSES rows
+        model.mass[k], model.kinds[k] = c, n
+    coded = code(docs if code_all else training, model, words, id_col, text)
+    for a, n in _transitions(coded.where(~held_out(F.col(f"`{id_col}`"))), model).collect():  # CLASSES squared
+        model.cells[a // CLASSES, a % CLASSES] = n
+    return model, words, coded
+
+
+def code(docs: DataFrame, model: Model, words: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, n_tokens, n_known, n_once, counted and seq: the class of each token, a byte each.
+
+    ``counted`` is the sum of log10(c + ADD).
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model.table, model.unknown))
+    rare_kind = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("at", T.BinaryType())]))
+    numbers = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "n_once")]
+    schema = T.StructType([docs.schema[id_col], *numbers, T.StructField("counted", T.DoubleType()), T.StructField("seq", T.BinaryType()), T.StructField("rare", rare_kind)])
+    arrow_rare = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.binary())]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), arrow_rare)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, label, step, below_of = sent.value
-        to = Symbols(own)
-        logs = {w: math.log10(c + ADD) for w, c in table.items()}
+        table, unknown = sent.value
+        place = {w: i for i, (w, _, _) in enumerate(table)}
+        get = place.get
+        c = np.array([c for _, c, _ in table] + [0], np.int64)
+        logs = np.log10(c + ADD)
+        logs[-1] = 0  # what is not in the table is counted after the join
+        label = np.array([k for _, _, k in table] + [unknown], np.uint8)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for i, j in runs(map(len, texts)):
                 made = []
                 for t in texts[i:j]:
-                    tokens = [*words_of(t), END]
-                    c = label[np.array([to[END], *[to[w] for w in tokens]])]
-                    below = float(step[c[:-1], c[1:]].sum() - below_of[c[1:]].sum())
-                    rare = Counter([w for w in tokens if w not in logs])
-                    known = len(tokens) - sum(rare.values())
-                    counted = math.fsum([logs[w] for w in tokens if w in logs])
-                    made.append((len(tokens), known, counted, below, [{"word": w, "n": n} for w, n in rare.items()]))
-                cols = list(zip(*made, strict=True))
-                arrays = [pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), arrow_rare), strict=True)]
+                    tokens = words_of(t)
+                    tokens.append(END)
+                    at = np.array([get(w, -1) for w in tokens], np.int64)
+                    rare: dict[bytes, list[int]] = {}
+                    for p in np.flatnonzero(at < 0).tolist():
+                        w = tokens[p]
+                        if w in rare:
+                            rare[w].append(p)
+                        else:
+                            rare[w] = [p]
+                    seen = c[at]
+                    lost = [{"word": w, "at": b"".join([p.to_bytes(4, "little") for p in own])} for w, own in rare.items()]
+                    made.append((len(tokens), int((seen > 0).sum()), int((seen == 1).sum()), math.fsum(logs[at].tolist()), label[at].tobytes(), lost))
+                arrays = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays], names=schema.names)
 
     first = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__t")).mapInArrow(mapped, schema)
     first = materialize(first.withColumn("__row", F.monotonically_increasing_id()), "first")
-    rare = first.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.n")
+    rare = first.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.at")
+    n, known = F.octet_length("at") / 4, F.coalesce("c", F.lit(0))
     sums = (
-        rare.join(counts.withColumnRenamed("word", "cw"), F.col("word") == F.col("cw"), "left")
-        .groupBy("__row").agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more_counted"),
+        rare.join(words.select(F.col("word").alias("cw"), "c", "k"), F.col("word") == F.col("cw"), "left")
+        .groupBy(F.col("__row").alias("__r")).agg(
+            F.sum(F.when(known > 0, n).otherwise(0)).cast("long").alias("more_known"), F.sum(F.when(known == 1, n).otherwise(0)).cast("long").alias("more_once"),
+            F.sum(n * F.log10(known + F.lit(ADD))).alias("more_counted"),
+            F.collect_list(F.when(F.col("k").isNotNull(), F.struct("at", "k"))).alias("places"),
         )
     )
+    more = [(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("n_known", "more_known"), ("n_once", "more_once"), ("counted", "more_counted"))]
+    out = first.drop("rare").join(sums, F.col("__row") == F.col("__r"), "left").select(F.col(f"`{id_col}`"), "n_tokens", *more, "seq", "places")
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = []
+            for seq, places in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                if places:
+                    x = np.frombuffer(seq, np.uint8).copy()
+                    at = np.frombuffer(b"".join([p["at"] for p in places]), "<u4")
+                    x[at] = np.repeat(np.array([p["k"] for p in places], np.uint8), [len(p["at"]) // 4 for p in places])
+                    seq = x.tobytes()
+                seqs.append(seq)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seqs, pa.binary())], names=schema.names[:6])
+
+    return materialize(out.mapInArrow(filled, T.StructType(schema.fields[:6])), "coded")
+
+
+def _transitions(coded: DataFrame, model: Model) -> DataFrame:
+    """(code, n): counts of neighbouring classes, code = first * CLASSES + second."""
+    end = next((k for w, _, k in model.table if w == END), model.unknown)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            # Every sequence ends in the end token, so one follows from another.
+            s = np.frombuffer(bytes([end]) + b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+            total += np.bincount(s[:-1] * CLASSES + s[1:], minlength=len(total))
+        codes = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes])], names=["code", "n"])
+
+    return coded.select("seq").mapInArrow(mapped, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, n_once.
+
+    ``n_once`` counts the tokens that training texts have once.
+    """
+    return _scored(code(docs, model, words, id_col, text), model, id_col)
+
+
+def _scored(coded: DataFrame, model: Model, id_col: str) -> DataFrame:
+    end = next((k for w, _, k in model.table if w == END), model.unknown)
+    step, below = model.step, model.below
+    kept = [c for c in coded.columns if c != "seq"]
+    schema = T.StructType([*[coded.schema[c] for c in kept], T.StructField("steps", T.DoubleType())])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for seq in batch.column(len(kept)).to_pylist():
+                c = np.frombuffer(bytes([end]) + seq, np.uint8)
+                made.append(float(step[c[:-1], c[1:]].sum() - below[c[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(made, pa.float64())], names=schema.names)
+
     base = math.log10(model.total + ADD * (model.distinct + 1))
-    out = first.drop("rare").join(sums.withColumnRenamed("__row", "__r"), F.col("__row") == F.col("__r"), "left")
-    counted = F.col("counted") + F.coalesce("more_counted", F.lit(0.0))
-    tokens = F.col("n_tokens")
+    out = coded.select(*[F.col(f"`{c}`") for c in kept], "seq").mapInArrow(mapped, schema)
+    counted, tokens, total = F.col("counted"), F.col("n_tokens"), F.col("counted") + F.col("steps")
     return out.select(
-        F.col(f"`{id_col}`"), held_out(F.col(f"`{id_col}`")).alias("held_out"), tokens, (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (counted - tokens * base).alias("base_score"), (counted + F.col("below")).alias("score"),
-        F.pow(F.lit(10.0), -(counted + F.col("below")) / tokens).alias("perplexity"),
+        F.col(f"`{id_col}`"), held_out(F.col(f"`{id_col}`")).alias("held_out"), tokens, "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"), (counted - tokens * base).alias("base_score"), total.alias("score"),
+        F.pow(F.lit(10.0), -total / tokens).alias("perplexity"), "n_once",
     )

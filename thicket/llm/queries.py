@@ -36,9 +36,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    model, counts = brown_lm.train(docs)
-    return brown_lm.score(docs, model, counts)
+    return brown_lm.train_and_score(documents(spark, sf_dir))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -327,8 +328,7 @@ def code(docs: DataFrame, model: Model, words: DataFrame, id_col: str, text: str
     rare_kind = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("at", T.BinaryType())]))
     numbers = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "n_once")]
     schema = T.StructType([docs.schema[id_col], *numbers, T.StructField("counted", T.DoubleType()), T.StructField("seq", T.BinaryType()), T.StructField("rare", rare_kind)])
-    arrow_rare = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.binary())]))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), arrow_rare)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, unknown = sent.value
@@ -341,23 +341,25 @@ def code(docs: DataFrame, model: Model, words: DataFrame, id_col: str, text: str
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for i, j in runs(map(len, texts)):
-                made = []
+                made, names, places, ends = [], [], [], [0]
                 for t in texts[i:j]:
                     tokens = words_of(t)
                     tokens.append(END)
                     at = np.array([get(w, -1) for w in tokens], np.int64)
-                    rare: dict[bytes, list[int]] = {}
-                    for p in np.flatnonzero(at < 0).tolist():
+                    rare: dict[bytes, bytes] = {}
+                    lost = np.flatnonzero(at < 0)
+                    spots = lost.astype("<u4").tobytes()
+                    for x, p in enumerate(lost.tolist()):
                         w = tokens[p]
-                        if w in rare:
-                            rare[w].append(p)
-                        else:
-                            rare[w] = [p]
+                        rare[w] = rare.get(w, b"") + spots[4 * x : 4 * x + 4]
+                    names += rare.keys()
+                    places += rare.values()
+                    ends.append(len(names))
                     seen = c[at]
-                    lost = [{"word": w, "at": b"".join([p.to_bytes(4, "little") for p in own])} for w, own in rare.items()]
-                    made.append((len(tokens), int((seen > 0).sum()), int((seen == 1).sum()), math.fsum(logs[at].tolist()), label[at].tobytes(), lost))
+                    made.append((len(tokens), int((seen > 0).sum()), int((seen == 1).sum()), math.fsum(logs[at].tolist()), label[at].tobytes()))
                 arrays = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays], names=schema.names)
+                pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(places, pa.binary())], names=["word", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=schema.names)
 
     first = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__t")).mapInArrow(mapped, schema)
     first = materialize(first.withColumn("__row", F.monotonically_increasing_id()), "first")
@@ -376,15 +378,19 @@ def code(docs: DataFrame, model: Model, words: DataFrame, id_col: str, text: str
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = []
-            for seq, places in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
-                if places:
-                    x = np.frombuffer(seq, np.uint8).copy()
-                    at = np.frombuffer(b"".join([p["at"] for p in places]), "<u4")
-                    x[at] = np.repeat(np.array([p["k"] for p in places], np.uint8), [len(p["at"]) // 4 for p in places])
-                    seq = x.tobytes()
-                seqs.append(seq)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seqs, pa.binary())], names=schema.names[:6])
+            for i, j in runs(pc.binary_length(batch.column(5)).to_pylist(), 1 << 20):
+                part = batch.slice(i, j - i)
+                seqs = part.column(5).to_pylist()
+                start = np.concatenate(([0], np.cumsum([len(x) for x in seqs])))
+                whole = np.frombuffer(b"".join(seqs), np.uint8).copy()
+                found = part.column(6)
+                owner = np.repeat(np.arange(j - i), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+                flat = found.flatten()
+                spots, label = flat.field("at").to_pylist(), flat.field("k").to_numpy(zero_copy_only=False)
+                n = np.array([len(x) // 4 for x in spots], np.int64)
+                whole[np.repeat(start[owner], n) + np.frombuffer(b"".join(spots), "<u4")] = np.repeat(label, n)
+                data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], data], names=schema.names[:6])
 
     return materialize(out.mapInArrow(filled, T.StructType(schema.fields[:6])), "coded")
 

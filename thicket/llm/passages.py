@@ -156,7 +156,9 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * (length - gram)), len(at), [None, pa.py_buffer(b"".join(beside))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(np.concatenate(name).view(np.int64)), fixed.cast(pa.binary())], names=["r1", "r2", "g", "beside"])
 
-    entries = rows.mapInArrow(placed, "r1 long, r2 long, g long, beside binary").join(counts.hint("merge"), F.col("g") == F.col("known")).drop("known")
+    def entries(known: DataFrame) -> DataFrame:
+        found = rows.mapInArrow(placed, "r1 long, r2 long, g long, beside binary")
+        return found.join(known.hint("merge"), F.col("g") == F.col("known")).drop("known", "n")
 
     def matrix(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * (length - gram))
@@ -182,7 +184,11 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if held:
             yield from sent(sum(map(len, held)))
 
-    few = entries.where(F.col("n") <= GROUP).select("r1", "r2", "g", "beside").repartition("g").sortWithinPartitions("g").mapInArrow(grouped, "r1 long, r2 long")
+    few = entries(counts.where(F.col("n") <= GROUP)).repartition("g").sortWithinPartitions("g").mapInArrow(grouped, "r1 long, r2 long")
+    per_row = lambda found: found.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n_shared"))
+    large = counts.where(F.col("n") > GROUP)
+    if large.isEmpty():
+        return per_row(few)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +199,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 w, where = digest[digest != 0].view(np.int64), pa.array(at)
                 yield pa.RecordBatch.from_arrays([*[part.column(k).take(where) for k in (0, 1, 4)], pa.array(w)], names=["r1", "r2", "k", "w"])
 
-    windows = entries.where(F.col("n") > GROUP).select("r1", "r2", "g", "beside", F.xxhash64("g", "beside").alias("k"))
+    windows = entries(large).select("r1", "r2", "g", "beside", F.xxhash64("g", "beside").alias("k"))
     windows = materialize(windows.mapInArrow(spread, "r1 long, r2 long, k long, w long"), "spread")
     often = windows.groupBy("w").agg(F.min("r1").alias("lo"), F.max("r1").alias("hi")).where("lo < hi").select(F.col("w").alias("often"))
     many = windows.join(materialize(often, "often").hint("merge"), F.col("w") == F.col("often")).select("r1", "r2", "k").distinct().select("r1", "r2")
-    return few.unionByName(many).groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n_shared"))
+    return per_row(few.unionByName(many))

@@ -117,6 +117,23 @@ def test_strategies_agree(spark):
     assert np.allclose(again.numpy_predict(x), base, atol=1e-9)
 
 
+@pytest.mark.parametrize("more", [{"subsample": 0.5}, {"num_parallel_tree": 3}, {"subsample": 0.7, "num_parallel_tree": 2}])
+def test_strategies_draw_the_same_rows(spark, more):
+    x, y = data()
+    frame, c = frame_of(spark, x, y), params(num_trees=2, max_depth=3, **more)
+    a, b = (Booster.fit(frame, c, strategy=s) for s in ("local", "spark"))
+    assert np.allclose(a.numpy_predict(x), b.numpy_predict(x), atol=1e-9)
+
+
+def test_numpy_and_spark_hash_alike(spark):
+    ids = [0, 1, -5, 2**40, 123456789]
+    df = spark.createDataFrame([(i,) for i in ids], "row_id long")
+    want = df.select(sampling.row_key(F.col("row_id")).alias("k"), sampling.hashed_uniform(F.col("row_id"), 4_000_000_000).alias("u")).collect()
+    key = sampling.hash_long(np.array(ids), np.uint64(42)).view(np.int64)
+    assert key.tolist() == [r["k"] for r in want]
+    assert sampling.uniforms(key, 4_000_000_000).tolist() == [r["u"] for r in want]
+
+
 def test_leaf_wise_growth_agrees(spark):
     x, y = data()
     c = params(num_trees=2, max_leaves=20, max_depth=0)

@@ -21,6 +21,7 @@ from ..functions.metrics import higher_is_better
 from ..functions.objectives import class_gradient, cox_gradient, gradient, link, pair_gradient
 from ..plans.params import Params
 from . import local, sampling, spark_grow
+from .flat import Flat
 from .frame import Frame
 from .quantize import cut_table, with_bins
 from .tree import NODE_SCHEMA, Node, Tree
@@ -41,6 +42,7 @@ class Booster:
 
     def __init__(self, params: Params, features: tuple[str, ...] = (), trees: list[Tree] | None = None, base: float = 0.0, history: list[dict] | None = None):
         self.params, self.features, self.trees, self.base, self.history = params, tuple(features), list(trees or []), base, list(history or [])
+        self._flat: tuple | None = None
 
     # ---- fitting ----
 
@@ -63,12 +65,8 @@ class Booster:
         if strategy == "local":
             if self._needs_local() and frame.cells() > 25 * LOCAL_CELLS:
                 raise ValueError("this combination of parameters needs the local strategy, and the data are too large for it")
-            x, y, w, m, g, _ = frame.arrays()
-            v = None
-            if valid is not None:
-                vx, vy, vw, vm, vg, _ = valid.arrays()
-                v = local.LocalData(vx, vy, vw, vm, vg)
-            self.trees, self.base, more = local.fit(local.LocalData(x, y, w, m, g), c, self.trees, self.base if keep else None, v, metrics)
+            v = None if valid is None else local.LocalData(*valid.arrays())
+            self.trees, self.base, more = local.fit(local.LocalData(*frame.arrays()), c, self.trees, self.base if keep else None, v, metrics)
             self.history += more
         elif self._needs_local():
             raise ValueError("the spark strategy has no exact, categorical, dart, leaf-refreshing, gradient-sampled or custom-objective growth")
@@ -235,11 +233,17 @@ class Booster:
             return df.withColumn(out, F.array(*[case_of(t, self.features, list(range(len(t.nodes)))) for t in self.trees]))
         return self._walk(df, out, T.ArrayType(T.IntegerType()), lambda x: np.stack([t.leaves(x) for t in self.trees], 1).astype(np.int32))
 
+    def flat(self) -> Flat:
+        """The trees as flat arrays, made once for a list of trees."""
+        if self._flat is None or self._flat[0] is not self.trees or self._flat[1] != len(self.trees):
+            self._flat = self.trees, len(self.trees), Flat(self.trees)
+        return self._flat[2]
+
     def _numpy_margins(self, x: np.ndarray) -> np.ndarray:
-        return local.margins(self.trees, x, self.params, self.base).reshape(len(x), -1)
+        return self.numpy_predict(x).reshape(len(x), -1)
 
     def numpy_predict(self, x: np.ndarray) -> np.ndarray:
-        return local.margins(self.trees, np.asarray(x, float), self.params, self.base)
+        return local.margins(self.trees, np.asarray(x, float), self.params, self.base, flat=self.flat() if self.trees else None)
 
     def _walk(self, df: DataFrame, out: str, kind: T.DataType, make) -> DataFrame:
         names = [c for c in df.columns if c != out]

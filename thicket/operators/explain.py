@@ -115,6 +115,97 @@ def _leaf_paths(tree: Tree) -> list[tuple[float, list[tuple[int, float, list[tup
     return out
 
 
+#: Path features up to which a leaf has a table of what each pattern adds, and
+#: table cells that are made at once.
+TABLE_FEATURES, TABLE_CELLS = 8, 1 << 22
+
+
+class _LeafTables:
+    """Leaves whose paths have the same number m of features, with a table for each.
+
+    A row adds to a leaf's features what the table says for the pattern of features
+    by which it follows the path. By the Shapley kernel as an integral over t in
+    [0, 1], feature j adds (o_j - z_j) times the integral of prod(z_i (1 - t) + o_i t)
+    over the other features; Gauss-Legendre nodes give the polynomial's exact value.
+    """
+
+    def __init__(self, leaves: list[tuple[int, float, list[tuple[int, float]]]], slots: list[list[int]]):
+        m = len(leaves[0][2])
+        self.at = np.array([k for k, _, _ in leaves])
+        self.features = np.array([[f for f, _ in path] for _, _, path in leaves])
+        self.slots = np.array(slots)
+        zero = np.array([[z for _, z in path] for _, _, path in leaves])
+        value = np.array([v for _, v, _ in leaves])
+        t, w = np.polynomial.legendre.leggauss((m + 1) // 2)
+        t, w = (t + 1) / 2, w / 2
+        ones = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+        share = np.zeros((len(leaves), 1 << m, m))
+        for x, y in zip(t, w, strict=True):
+            part = zero[:, None, :] * (1 - x) + ones[None] * x
+            share += y * part.prod(2, keepdims=True) / part
+        share *= (ones[None] - zero[:, None, :]) * value[:, None, None]
+        self.table = share.reshape(-1, m)
+
+    def add(self, out: np.ndarray, missed: np.ndarray) -> None:
+        """``missed`` (rows x nodes) has a bit for each feature that left a node's path."""
+        rows, width = out.shape
+        m = self.features.shape[1]
+        code = np.zeros((rows, len(self.at)), np.int64)
+        off = missed[:, self.at]
+        for j in range(m):
+            code |= ((~off >> self.slots[:, j].astype(np.uint64)) & np.uint64(1)).astype(np.int64) << j
+        each = self.table[code + np.arange(len(self.at)) * (1 << m)]
+        base = np.arange(rows)[:, None] * width
+        for j in range(m):
+            out += np.bincount((base + self.features[:, j]).ravel(), each[:, :, j].ravel(), minlength=out.size).reshape(out.shape)
+
+
+def _tables(model: Booster, class_idx: int) -> tuple[list[_LeafTables], np.ndarray, list[tuple[Tree, float]]]:
+    """Tables of the leaves, each node's feature as a bit of its tree, and trees without tables."""
+    flat = model.flat()
+    bit = np.zeros(len(flat.left), np.uint64)
+    by_size: dict[int, tuple[list, list]] = {}
+    rest = []
+    share = np.ones(len(flat.left))
+    inner = np.flatnonzero(~flat.leaf)
+    for child in (flat.left, flat.right):
+        share[child[inner]] = flat.cover[child[inner]] / (flat.cover[flat.left[inner]] + flat.cover[flat.right[inner]])
+    left, right, feature, value = flat.left.tolist(), flat.right.tolist(), flat.feature.tolist(), flat.value.tolist()
+    shares, is_leaf = share.tolist(), flat.leaf.tolist()
+    for k, tree in enumerate(model.trees):
+        if tree.class_idx != class_idx:
+            continue
+        scale = model.params.eta * tree.weight
+        nodes = np.flatnonzero((flat.tree == k) & ~flat.leaf)
+        own = {f: i for i, f in enumerate(np.unique(flat.feature[nodes]).tolist())}
+        if len(own) > 64:
+            rest.append((tree, scale))
+            continue
+        if len(nodes):
+            bit[nodes] = np.uint64(1) << np.array([own[f] for f in flat.feature[nodes].tolist()], np.uint64)
+        found, stack = [], [(int(flat.root[k]), {})]
+        while stack:
+            at, path = stack.pop()
+            if is_leaf[at]:
+                found.append((at, scale * value[at], list(path.items())))
+                continue
+            for child in (left[at], right[at]):
+                stack.append((child, path | {feature[at]: path.get(feature[at], 1.0) * shares[child]}))
+        if any(len(p) > TABLE_FEATURES or any(z <= 0 for _, z in p) for _, _, p in found):
+            rest.append((tree, scale))
+            continue
+        for leaf in found:
+            if leaf[2]:
+                leaves, slots = by_size.setdefault(len(leaf[2]), ([], []))
+                leaves.append(leaf)
+                slots.append([own[f] for f, _ in leaf[2]])
+    out = []
+    for m, (leaves, slots) in sorted(by_size.items()):
+        step = max(1, TABLE_CELLS // (m << m))
+        out += [_LeafTables(leaves[i : i + step], slots[i : i + step]) for i in range(0, len(leaves), step)]
+    return out, bit, rest
+
+
 def shapley(model: Booster, x: np.ndarray, class_idx: int = 0) -> np.ndarray:
     """Path-dependent Shapley values (rows x features + 1, the last the expectation).
 
@@ -122,28 +213,43 @@ def shapley(model: Booster, x: np.ndarray, class_idx: int = 0) -> np.ndarray:
     prod(z + o t) over the path's other features, weighed by the Shapley kernel;
     z is the share of cover that follows the path, o whether the row itself does.
     """
-    rows, width = len(x), len(model.features)
-    out = np.zeros((rows, width + 1))
-    out[:, -1] = model.base
-    for tree in model.trees:
-        if tree.class_idx != class_idx:
-            continue
-        scale = model.params.eta * tree.weight
-        out[:, -1] += scale * tree_expectation(tree)
-        left = np.stack([_left_column(tree, k, x) if not n.is_leaf else np.zeros(rows, bool) for k, n in enumerate(tree.nodes)], 1)
-        for value, path in _leaf_paths(tree):
-            m = len(path)
-            if not m:
-                continue
+    x = np.asarray(x, float)
+    out = np.zeros((len(x), len(model.features) + 1))
+    if model.trees:
+        flat = model.flat()
+        tables, bit, rest = _tables(model, class_idx)
+        block = max(1, CELLS_AT_ONCE // len(flat.left))
+        for i in range(0, len(x) if tables else 0, block):
+            own = x[i : i + block]
+            every = np.broadcast_to(np.arange(len(flat.left)), (len(own), len(flat.left)))
+            left = flat.goes_left(own, every, bool(np.isnan(own).any()))
+            missed = np.zeros((len(own), len(flat.left)), np.uint64)
+            for d in range(flat.deepest):
+                k = np.flatnonzero(~flat.leaf & (flat.depth == d))
+                missed[:, flat.left[k]] = missed[:, k] | np.where(left[:, k], np.uint64(0), bit[k])
+                missed[:, flat.right[k]] = missed[:, k] | np.where(left[:, k], bit[k], np.uint64(0))
+            for table in tables:
+                table.add(out[i : i + block], missed)
+        for tree, scale in rest:
+            _add_paths(out, tree, scale, x)
+        means = flat.means()[flat.root]
+        out[:, -1] += model.params.eta * (flat.weight * means)[flat.classes == class_idx].sum()
+    out[:, -1] += model.base
+    return out
+
+
+#: Row and node pairs that an attribution holds at once.
+CELLS_AT_ONCE = 1 << 20
+
+
+def _add_paths(out: np.ndarray, tree: Tree, scale: float, x: np.ndarray) -> None:
+    """Adds one tree's attributions leaf by leaf, for paths of any length."""
+    left = np.stack([_left_column(tree, k, x) if not n.is_leaf else np.zeros(len(x), bool) for k, n in enumerate(tree.nodes)], 1)
+    for value, path in _leaf_paths(tree):
+        if path:
             follows = np.stack([np.logical_and.reduce([left[:, k] == d for k, d in steps]) for _, _, steps in path], 1)
-            zero = np.array([z for _, z, _ in path])
-            if m <= 8:  # what a row adds depends only on which decisions it follows
-                code = follows @ (1 << np.arange(m))
-                each = _path_shares((np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float), zero)[code]
-            else:
-                each = _path_shares(follows.astype(float), zero)
+            each = _path_shares(follows.astype(float), np.array([z for _, z, _ in path]))
             out[:, [f for f, _, _ in path]] += scale * value * each
-    return out
 
 
 def _path_shares(ones: np.ndarray, zero: np.ndarray) -> np.ndarray:
@@ -212,27 +318,17 @@ def interactions(model: Booster, x: np.ndarray, class_idx: int = 0) -> np.ndarra
 
 def approximate(model: Booster, x: np.ndarray, class_idx: int = 0) -> np.ndarray:
     """Fast attributions: each split passes on the change of its node's expectation."""
+    x = np.asarray(x, float)
     out = np.zeros((len(x), len(model.features) + 1))
-    out[:, -1] = model.base
-    for tree in model.trees:
-        if tree.class_idx != class_idx:
-            continue
-        scale, h = model.params.eta * tree.weight, _weights(tree)
-        mean = np.zeros(len(tree.nodes))
-        for k in sorted(range(len(mean)), key=lambda k: -tree.nodes[k].depth):
-            n = tree.nodes[k]
-            mean[k] = n.value if n.is_leaf else (h[n.left] * mean[n.left] + h[n.right] * mean[n.right]) / (h[n.left] + h[n.right])
-        out[:, -1] += scale * mean[0]
-        at = np.zeros(len(x), int)
-        live = np.arange(len(x)) if not tree.nodes[0].is_leaf else np.zeros(0, int)
-        while len(live):
-            for k in np.unique(at[live]):
-                rows = live[at[live] == k]
-                n = tree.nodes[k]
-                to = np.where(_left_column(tree, k, x[rows]), n.left, n.right)
-                out[rows, n.feature] += scale * (mean[to] - mean[k])
-                at[rows] = to
-            live = live[[not tree.nodes[k].is_leaf for k in at[live]]]
+    if model.trees:
+        flat = model.flat()
+        means, scale = flat.means(), model.params.eta * flat.weight * (flat.classes == class_idx)
+        out[:, -1] += (scale * means[flat.root]).sum()
+        for rows, at, after in flat.steps(x):
+            place = np.arange(len(at))[:, None] * out.shape[1] + flat.feature[at]
+            passed = scale * (means[after] - means[at])
+            out[rows] += np.bincount(place.ravel(), passed.ravel(), minlength=out[rows].size).reshape(out[rows].shape)
+    out[:, -1] += model.base
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import missing
+from .sampling import row_key
 
 
 class FrameError(ValueError):
@@ -70,11 +71,11 @@ class Frame:
         return self.df.count() * len(self.features)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray | None, np.ndarray]:
-        """x, y, weight, margin, group and row ids on the driver, in row order."""
-        t = self.selected().orderBy(self.row).toPandas()
+        """x, y, weight, margin, group and hashes of the row ids on the driver, in row order."""
+        t = self.selected().withColumn("__key", row_key(F.col(f"`{self.row}`"))).orderBy(self.row).toPandas()
         pick = lambda c: None if c is None else t[c].to_numpy()
         margin = pick(self.margin)
         if margin is not None and len(margin) and isinstance(margin[0], (list, np.ndarray)):
             margin = np.stack([np.asarray(m, float) for m in margin])
         weight = pick(self.weight)
-        return t[list(self.features)].to_numpy(float), t[self.label].to_numpy(float), None if weight is None else weight.astype(float), None if margin is None else margin.astype(float), pick(self.group), t[self.row].to_numpy()
+        return t[list(self.features)].to_numpy(float), t[self.label].to_numpy(float), None if weight is None else weight.astype(float), None if margin is None else margin.astype(float), pick(self.group), t["__key"].to_numpy()

@@ -15,6 +15,7 @@ from ..functions.metrics import higher_is_better, np_metric
 from ..functions.objectives import np_gradient, np_link
 from ..plans.params import Params
 from . import sampling
+from .flat import Flat
 from .quantize import bin_matrix, cuts_of
 from .tree import Split, Tree, best_splits, leaf_value
 
@@ -199,17 +200,27 @@ def dart_weights(trees: list[Tree], dropped: list[int], new: list[Tree], c: Para
 
 
 class LocalData:
-    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, margin: np.ndarray | None = None, group: np.ndarray | None = None):
+    """Columns in numpy; ``key`` holds a hash of each row's id, which row sampling follows."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, margin: np.ndarray | None = None, group: np.ndarray | None = None, key: np.ndarray | None = None):
         self.x, self.y, self.w, self.margin, self.group = np.asarray(x, float), np.asarray(y, float), w, margin, group
+        self.key = sampling.hash_long(np.arange(len(self.y)), np.uint64(42)).view(np.int64) if key is None else key
 
 
-def margins(trees: list[Tree], x: np.ndarray, c: Params, base: float, start: np.ndarray | None = None) -> np.ndarray:
+def margins(trees: list[Tree], x: np.ndarray, c: Params, base: float, start: np.ndarray | None = None, flat: Flat | None = None) -> np.ndarray:
     k = c.classes
     out = np.full((len(x), k), base)
     if start is not None:
         out = start.reshape(len(x), -1) + np.zeros((1, k))
-    for t in trees:
-        out[:, t.class_idx] += c.eta * t.weight * t.values()[t.leaves(x)]
+    if trees and all(t.nodes[0].vector is None for t in trees):
+        flat = flat or Flat(trees)
+        at = flat.leaves(x)
+        for cls in range(k):
+            own = np.flatnonzero(flat.classes == cls)
+            out[:, cls] += c.eta * (flat.value[at[:, own]] @ flat.weight[own])
+    else:
+        for t in trees:
+            out[:, t.class_idx] += c.eta * t.weight * t.values()[t.leaves(x)]
     return out if k > 1 else out[:, 0]
 
 
@@ -240,12 +251,14 @@ def fit(data: LocalData, c: Params, trees: list[Tree] | None = None, base: float
             g, h = (g_all[:, cls], h_all[:, cls]) if k > 1 else (g_all, h_all)
             for p in range(c.num_parallel_tree):
                 seed = sampling.derive_seed(c.seed, it * k + cls + p * 1000, p)
-                if c.num_parallel_tree > 1:
-                    n = sampling.bootstrap(len(y), sampling.derive_seed(c.seed, it * k + cls, 100 + p))
-                elif c.sampling_method == "gradient_based" and c.subsample < 1:
+                if c.sampling_method == "gradient_based" and c.subsample < 1 and c.num_parallel_tree == 1:
                     n = sampling.sample_by_gradient(g, c.subsample, sampling.derive_seed(c.seed, it * k + cls, 0))
                 else:
-                    n = np.bincount(sampling.sample_rows(len(y), c.subsample, sampling.derive_seed(c.seed, it * k + cls, 0)), minlength=len(y))
+                    n = np.ones(len(y), np.int64)
+                    if c.subsample < 1:
+                        n = (sampling.uniforms(data.key, sampling.derive_seed(c.seed, it * k + cls, 0)) < c.subsample).astype(np.int64)
+                    if c.num_parallel_tree > 1:  # each tree of a forest draws its own rows
+                        n = n * sampling.copies_of(sampling.uniforms(data.key, sampling.derive_seed(c.seed, it * k + cls, 100 + p)))
                 mask = sampling.sample_columns(features, c.colsample_bytree, sampling.derive_seed(c.seed, it * k + cls + p * 1000, 1 + (100 if p else 0)), c.feature_weights)
                 tree, node_of = grow(bins, g * n, h * n, n.astype(float), mask, c, seed & 0xFFFF)
                 tree.class_idx, tree.weight = cls, 1.0 / c.num_parallel_tree

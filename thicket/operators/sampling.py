@@ -1,7 +1,7 @@
 """Row and column sampling.
 
-Draws that must be reproduced bit by bit come from a Mersenne twister on the
-driver; samplers over DataFrames hash the row id, so they need no order.
+Column draws come from a Mersenne twister on the driver. Row draws hash the row id,
+so they need no order, and numpy and Spark draw the same rows.
 """
 
 from __future__ import annotations
@@ -58,22 +58,59 @@ def sample_columns(columns: list[int], share: float, seed: int, weights: tuple[f
     return out or [columns[int(u.argmin())]]
 
 
+#: Primes of XXH64 (fixed values).
+_PRIMES = tuple(np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hash_long(value: np.ndarray | int, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of one 8-byte integer, as Spark's xxhash64 takes a long (unsigned)."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    value, seed = np.broadcast_arrays(np.atleast_1d(np.asarray(value, np.int64)).view(np.uint64), np.atleast_1d(np.asarray(seed, np.uint64)))
+    h = seed + p5 + np.uint64(8)
+    h = _turned(h ^ (_turned(value * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def row_key(row: Column) -> Column:
+    """What row draws are made from: a hash of the row's id, whatever its type."""
+    return F.xxhash64(row)
+
+
 def hashed_uniform(row: Column, seed: int) -> Column:
     """A uniform double in [0, 1) from a row's id, the same under any partitioning."""
-    return F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return F.pmod(F.xxhash64(row, F.lit(seed).cast("long")), F.lit(1 << 30)) / float(1 << 30)
+
+
+def uniforms(key: np.ndarray, seed: int) -> np.ndarray:
+    """:func:`hashed_uniform` in numpy, from the rows' :func:`row_key`."""
+    return (hash_long(seed, np.asarray(key, np.int64).view(np.uint64)) & np.uint64((1 << 30) - 1)) / float(1 << 30)
 
 
 def sample_rows_by_hash(df: DataFrame, share: float, seed: int, row: str = "row_id") -> DataFrame:
     return df if share >= 1 else df.where(hashed_uniform(F.col(row), seed) < share)
 
 
+#: P(copies <= k) of a Poisson(1) count; eight copies are the most.
+_POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(8)])
+
+
+def copies_of(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts for uniform draws."""
+    return np.searchsorted(_POISSON, u, side="right")
+
+
 def with_multiplicity(df: DataFrame, seed: int, row: str = "row_id") -> DataFrame:
     """Adds copies: a Poisson(1) count by the row's hash, the large-scale bootstrap."""
     u = hashed_uniform(F.col(row), seed)
-    steps = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(8)])
-    copies = F.lit(len(steps))
-    for k in range(len(steps) - 1, -1, -1):
-        copies = F.when(u < float(steps[k]), k).otherwise(copies)
+    copies = F.lit(len(_POISSON))
+    for k in range(len(_POISSON) - 1, -1, -1):
+        copies = F.when(u < float(_POISSON[k]), k).otherwise(copies)
     return df.withColumn("copies", copies)
 
 

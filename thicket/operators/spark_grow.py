@@ -104,7 +104,9 @@ def best_splits(hist: DataFrame, c: Params, allowed: dict[int, list[int]] | None
         for k, fs in allowed.items():
             keep |= (F.col("node") == k) & F.col("feature").isin(fs)
         found = found.where(keep)
-    rank = F.struct(F.col("gain"), -F.col("feature"), -F.col("bin"), F.col("default_left"))
+    # Gains that differ by the order of summation only are ties: eleven digits count.
+    size = F.floor(F.log10("gain"))
+    rank = F.struct(size, F.round(F.col("gain") / F.pow(F.lit(10.0), size), 10), -F.col("feature"), -F.col("bin"), F.col("default_left"))
     return found.groupBy("node").agg(F.max_by(F.struct("feature", "bin", "default_left", "gl", "hl", "gp", "hp", "gain"), rank).alias("s")).select("node", "s.*")
 
 

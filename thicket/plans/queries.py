@@ -726,11 +726,11 @@ def grid_product(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, c["max_depth"], c["eta"]) for i, c in enumerate(select.grid({"max_depth": [3, 6], "eta": [0.1, 0.3, 0.5]}))], "combo int, max_depth int, eta double")
 
 
-_CURVE = "c AS (SELECT CAST(user_id AS INTEGER) AS iteration, round(avg(value), 4) AS value FROM events WHERE user_id < 40 GROUP BY user_id)"
+_CURVE = "c AS (SELECT CAST(user_id AS INTEGER) AS iteration, round(avg(value), 9) AS value FROM events GROUP BY user_id)"
 
 
 def _curve(spark: SparkSession, d: str) -> list[dict]:
-    t = spark.read.parquet(f"{d}/events.parquet").where("user_id < 40").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("v")).orderBy("user_id")
+    t = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.round(F.avg("value"), 9).alias("v")).orderBy("user_id")
     return [{"iteration": int(r["user_id"]), "valid-rmse": r["v"]} for r in t.collect()]
 
 
@@ -793,3 +793,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Cuts, bins, histogram, best split, leaves, score and error in one go."""
     df, _ = grown(spark, d, 1)
     return df.select((F.lit(BASE) + F.col("leaf")).alias("p"), "label").agg(F.round(M.row_metric("rmse", F.col("p"), F.col("label")), 2).alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+
+from . import source_queries  # noqa: E402, F401 (registers more queries)

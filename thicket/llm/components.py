@@ -16,10 +16,11 @@ DEAL = 64
 def _lowest(links: DataFrame) -> DataFrame:
     """Each link (u, v) with m, the smallest neighbour of u.
 
-    The minimum is taken for each (u, share of u's links) first. Only shares that
-    have links get a copy of the result, so no copy is made in vain.
+    The minimum is taken for each (u, share of u's links) first, and one exchange
+    serves it and the join. Only shares that have links get a copy of the result, so
+    no copy is made in vain.
     """
-    dealt = links.withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(DEAL)).cast("int"))
+    dealt = links.withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(DEAL)).cast("int")).repartition("u", "deal")
     parts = dealt.groupBy("u", "deal").agg(F.min("v").alias("m"))
     low = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("deal").alias("deals"))
     low = low.select(F.col("u").alias("k"), "m", F.explode("deals").alias("share"))
@@ -28,7 +29,7 @@ def _lowest(links: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _lowest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return _lowest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))  # repeats go in the small star
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -86,6 +86,22 @@ def test_trie_links_are_complete(spark, node):
     assert brute_components(list(range(len(x))), lambda a, b: (a, b) in links or (b, a) in links) == want
 
 
+@pytest.mark.parametrize("shape", ["path", "hub", "random"])
+def test_components(spark, shape):
+    from thicket.llm.components import components
+
+    rng = np.random.default_rng(5)
+    n = 60
+    ends = {"path": [(i, i + 1) for i in range(n)], "hub": [(n, i) for i in range(n)], "random": rng.integers(0, n, (n // 2, 2)).tolist()}[shape]
+    name = rng.permutation(n + 1).tolist()  # neighbours get far names
+    rows = [(name[a], name[b]) for a, b in ends] * 2 + [(7, 7)]
+    got = components(spark.createDataFrame(rows, "u long, v long").repartition(5)).collect()
+    linked = set(rows) | {(b, a) for a, b in rows}
+    want = brute_components(list(range(n + 1)), lambda a, b: (a, b) in linked)
+    assert {r["u"]: r["v"] for r in got} == {a: want[a] for a in range(n + 1) if want[a] != a} and len(got) == len({r["u"] for r in got})
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_near_copies(spark, docs, empty, cases):
     sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for _, t in cases]
     alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import join_hot, map_texts, materialize
-from .components import components
+from .components import components, forest
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Entries of a trie node that is one block of work.
@@ -112,22 +112,6 @@ def pairs_within(a: np.ndarray, b: np.ndarray, budget: int, same: bool, head: in
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (vertex, smallest vertex of its component) that join what u-v joins."""
-    names, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-    x, y, root = at[: len(u)], at[len(u) :], np.arange(len(names))
-    while True:
-        low = root.copy()
-        np.minimum.at(low, x, root[y])
-        np.minimum.at(low, y, root[x])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    moved = root != np.arange(len(names))
-    return names[moved], names[root[moved]]
-
-
 def _flips(bits: int, budget: int, head: int, head_budget: int) -> list[int]:
     """Masks over the first ``bits`` bits that the budgets allow."""
     out = []
@@ -228,7 +212,7 @@ def links(entries: DataFrame, budget: int = BUDGET, node_entries: int = NODE_ENT
                     x, y = a[i[ok]], b[j[ok]]
                     if name[0]:
                         x, y = (x << half) | (x >> half), (y << half) | (y >> half)
-                    u, v = _forest(x.view(np.int64), y.view(np.int64))
+                    u, v = forest(x.view(np.int64), y.view(np.int64))
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])

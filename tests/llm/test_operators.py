@@ -134,6 +134,43 @@ def test_links_displaced_by_a_failing_one_are_checked(spark, seed):
     assert [r["doc_id"] for r in near_copies.one_of_each_group(d, size=1).collect()] == [0]
 
 
+@pytest.mark.parametrize("most", [1024, 8])
+def test_parts_of_a_group_join_again(spark, monkeypatch, most):
+    """Families around the border of 0.8; the largest family is one root already, and two groups share a task."""
+    monkeypatch.setattr(near_copies, "SIDE_ENTRIES", most)
+    r = np.random.default_rng(1)
+    sets, part, root = [], [], []
+    for p in (5, 6):
+        base = r.integers(0, 1 << 63, 100, dtype=np.uint64)
+        for k in range(40):
+            x = base.copy()
+            at = r.permutation(100)[: 3 if k <= 12 else 4 + k % 7]
+            x[at] = r.integers(0, 1 << 63, len(at), dtype=np.uint64)
+            sets.append(np.unique(x))
+            part.append(p)
+            root.append(p * 1000 if k <= 12 else p * 1000 + k)
+    v = [1000 * p + k for p in (5, 6) for k in range(40)]
+    wide = [near_copies.wide_fingerprint(x) for x in sets]
+    e = spark.createDataFrame(list(zip(v, wide, part, root, strict=True)), "v long, wide binary, part long, root long")
+    own = spark.createDataFrame([(k, x.tobytes()) for k, x in zip(v, sets, strict=True)], "k long, own binary")
+    got = {(x["u"], x["v"]) for x in near_copies._rejoined(e, own, 0.8).collect()}
+    bits = np.array([np.frombuffer(w, "<u4") for w in wide])
+
+    def reach(a, b):
+        x = bits[a] ^ bits[b]
+        return np.bitwise_count(x).sum() <= near_copies.CLOSE and near_copies._first_trie(x[None])[0] >= 0
+
+    holds = {(a, b) for a in range(80) for b in range(80) if part[a] == part[b] and near_copies.jaccard(sets[a], sets[b]) >= 0.8 and reach(a, b)}
+    assert len(holds) - 80 < 2 * 40 * 39  # some links fail
+    at = {k: i for i, k in enumerate(v)}
+    sent = {(at[a], at[b]) for a, b in got}
+    assert sent <= holds
+    same = lambda a, b: root[a] == root[b]
+    one = brute_components(list(range(80)), lambda a, b: (a, b) in sent or (b, a) in sent or same(a, b))
+    assert one == brute_components(list(range(80)), lambda a, b: (a, b) in holds or same(a, b))
+    assert sent and 2 < len(set(one)) < 56
+
+
 def test_near_links_in_parts(spark):
     r = np.random.default_rng(0)
     rows = [(i, r.bytes(32)) for i in range(60)]

@@ -8,8 +8,9 @@ is then equal, so a trie (one for each quarter, that quarter first) is walked on
 below nodes that share their first 8 bits. Pairs found are weighed by all 256
 bits; a task sends a minimum spanning forest of them. Texts with equal sets are
 one entry; every link between different sets is checked by exact Jaccard. Where a
-link fails and its ends stay apart, a second walk over the entries of that group
-sends all pairs between its parts, and those are checked too.
+link fails, the entries of that group outside its largest part walk the tries again
+with all of the group, and the pairs found between its parts are checked on the spot:
+only links that hold and join two parts are sent, never the pairs.
 
 Defined cases: texts without words are one group; a null id is kept only if its
 group has no other; repeated rows are copies of each other; an empty table gives
@@ -23,11 +24,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, text_bytes
+from .common import join_hot, map_texts, materialize, text_bytes
 from .components import components
 from .simhash import fingerprint, pairs_within, shingle_hashes
 
@@ -41,6 +42,8 @@ NODE_ENTRIES = 8192
 #: Shingle sets that meet in a task for checks: of small components together, and
 #: of each side of a part of a large one.
 SMALL_SETS, PART_SETS = 2048, 64
+#: Entries, and bytes of their sets, of each side of a task that joins parts again.
+SIDE_ENTRIES, SIDE_BYTES = 1024, 32 << 20
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -99,30 +102,32 @@ def _first_trie(x: np.ndarray) -> np.ndarray:
     return first
 
 
+def _turned(band: np.ndarray, quarter: int) -> np.ndarray:
+    """Bands of 32 bits with that quarter first."""
+    return (band << np.uint32(8 * quarter)) | (band >> np.uint32(32 - 8 * quarter)) if quarter else band
+
+
 def _tries(entries: DataFrame) -> DataFrame:
-    """(t, p, fp, v, wide, part, root): each entry once for every band and quarter."""
+    """(t, p, fp, v, wide): each entry once for every band and quarter."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, 2 * LANES)
-            for band in range(2 * LANES):
-                for quarter in range(4):
-                    x, turn = wide[:, band], np.uint32(8 * quarter)
-                    x = (x << turn) | (x >> np.uint32(32 - 8 * quarter)) if quarter else x
-                    n = len(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, band * 4 + quarter, np.int32)), pa.array((x >> np.uint32(24)).astype(np.int32)), pa.array(x.astype(np.int64)), *batch.columns], names=["t", "p", "fp", "v", "wide", "part", "root"])
+            for t in range(8 * LANES):
+                x = _turned(wide[:, t // 4], t % 4)
+                columns = [pa.array(np.full(len(x), t, np.int32)), pa.array((x >> np.uint32(24)).astype(np.int32)), pa.array(x.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, *batch.columns], names=["t", "p", "fp", "v", "wide"])
 
-    return entries.select("v", "wide", "part", "root").mapInArrow(mapped, "t int, p int, fp long, v long, wide binary, part long, root long")
+    return entries.select("v", "wide").mapInArrow(mapped, "t int, p int, fp long, v long, wide binary")
 
 
-def near_links(entries: DataFrame, node_entries: int = NODE_ENTRIES, apart: bool = False) -> DataFrame:
+def near_links(entries: DataFrame, node_entries: int = NODE_ENTRIES) -> DataFrame:
     """(u, v, d): spanning forests of the pairs in reach; d of 256 bits differ.
 
-    With ``apart``, all pairs of one ``part`` and different ``root``, each once.
     A node with over ``node_entries`` entries is dealt into parts, and each pair
     of parts meets in a task of its own.
     """
-    tries = _tries(entries if apart else entries.withColumns({"part": F.lit(0).cast("long"), "root": F.lit(0).cast("long")}))
+    tries = _tries(entries)
     nodes = tries.groupBy("t", "p").count()
     full = materialize(nodes.where(F.col("count") > node_entries).select(F.col("t").alias("ft"), F.col("p").alias("fp_"), F.ceil(F.col("count") / node_entries).cast("int").alias("m")), "full")
     many = full.agg(F.coalesce(F.max("m"), F.lit(1))).first()[0]
@@ -142,28 +147,20 @@ def near_links(entries: DataFrame, node_entries: int = NODE_ENTRIES, apart: bool
         b = order[c[order] != c.min()] if split else order
         i, j = pairs_within(fp[a], fp[b], BAND_BUDGET, not split, 8, 0)
         i, j = a[i], b[j]
-        part, root, t = table.column("part").to_numpy(), table.column("root").to_numpy(), table.column("t")[0].as_py() if len(c) else 0
         kept = [np.zeros((3, 0), np.int64)]
         for k in range(0, len(i), 1 << 20):
             x, y = i[k : k + (1 << 20)], j[k : k + (1 << 20)]
-            if apart:
-                own = (part[x] == part[y]) & (root[x] != root[y])
-                x, y = x[own], y[own]
-            bits = wide[x] ^ wide[y]
-            d = np.bitwise_count(bits).sum(1, dtype=np.int64)
+            d = np.bitwise_count(wide[x] ^ wide[y]).sum(1, dtype=np.int64)
             near = (d <= CLOSE) & (x != y)
-            if apart:
-                near &= _first_trie(bits.view("<u4")) == t
             kept.append(np.stack((x[near], y[near], d[near])))
         i, j, d = np.concatenate(kept, 1)
         rank = np.empty(len(v), np.int64)
         rank[np.argsort(v)] = np.arange(len(v))  # ties go by v, so that nodes send the same pairs
-        keep = slice(None) if apart else spanning_forest(np.minimum(rank[i], rank[j]), np.maximum(rank[i], rank[j]), d, len(v))
+        keep = spanning_forest(np.minimum(rank[i], rank[j]), np.maximum(rank[i], rank[j]), d, len(v))
         return pa.table({"u": v[i[keep]], "v": v[j[keep]], "d": d[keep].astype(np.int32)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.int32())]))
 
-    found = dealt.select("t", "p", "i", "j", "c", "fp", "v", "wide", "part", "root").groupBy("t", "p", "i", "j").applyInArrow(walk, "u long, v long, d int")
-    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d")
-    return found if apart else found.distinct()
+    found = dealt.select("t", "p", "i", "j", "c", "fp", "v", "wide").groupBy("t", "p", "i", "j").applyInArrow(walk, "u long, v long, d int")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d").distinct()
 
 
 def _thinned(links: DataFrame) -> DataFrame:
@@ -226,6 +223,76 @@ def _verified(links: DataFrame, own: DataFrame, least: float) -> DataFrame:
     return pairs.groupBy("g", "i", "j").cogroup(members.groupBy("mg", "mi", "mj")).applyInArrow(alike, "u long, v long")
 
 
+def _rejoined(entries: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """(u, v): links that join the roots of entries (v, wide, part, root) of one part.
+
+    Entries outside their part's largest root (strays) meet all entries of the part.
+    Both are dealt over shares, so that a task holds at most about SIDE_ENTRIES of
+    each; small parts share tasks. Pairs in reach between different roots are checked
+    by exact Jaccard, nearest first, unless links of the task join their roots already.
+    """
+    sized = materialize(entries.join(own.select("k", F.length("own").alias("bytes")), F.col("v") == F.col("k")).drop("k"), "sized")
+    roots = sized.groupBy("part", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    parts = roots.groupBy(F.col("part").alias("p")).agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    full = F.greatest(F.col("n") / SIDE_ENTRIES, F.col("bytes") / SIDE_BYTES)
+    strays = F.greatest((F.col("n") - F.col("top.n")) / SIDE_ENTRIES, (F.col("bytes") - F.col("top.bytes")) / SIDE_BYTES, F.lit(1))
+    shares = parts.select("p", "n", F.col("top.root").alias("main"), full.alias("full"), F.ceil(full).cast("int").alias("m"), F.ceil(strays).cast("int").alias("s"))
+    shares = materialize(shares, "shares")
+    groups = 1 + int(shares.where("m = 1").agg(F.coalesce(F.sum("full"), F.lit(0.0))).first()[0])
+    dealt = join_hot(sized, shares.drop("full"), ["part"], ["p"], "n")
+    group = F.when(F.col("m") == 1, F.pmod(F.xxhash64("part"), F.lit(groups))).otherwise(F.col("part")).alias("g")
+
+    def share(of: str) -> Column:
+        return F.pmod(F.xxhash64("v"), F.col(of)).cast("int")
+
+    def each(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    rest = ["v", "wide", "part", "root", (F.col("root") == F.col("main")).alias("inside")]
+    left = dealt.where("root <> main").select(group, share("s").alias("i"), each("m").alias("j"), F.lit(0).alias("side"), *rest)
+    right = dealt.select(group, each("s").alias("i"), share("m").alias("j"), F.lit(1).alias("side"), *rest)
+    members = left.unionByName(right).join(own.hint("merge"), F.col("v") == F.col("k")).drop("k")
+
+    def joined(table: pa.Table) -> pa.Table:
+        v, part, root, side = (table.column(c).to_numpy() for c in ("v", "part", "root", "side"))
+        inside = table.column("inside").to_numpy()
+        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, LANES)
+        bands, kept = wide.view("<u4"), [np.zeros((3, 0), np.int64)]
+        for t in range(8 * LANES):
+            fp = _turned(bands[:, t // 4], t % 4).astype(np.uint64) << np.uint64(32)
+            a, b = (np.flatnonzero(side == k) for k in range(2))
+            a, b = a[np.argsort(fp[a], kind="stable")], b[np.argsort(fp[b], kind="stable")]
+            i, j = pairs_within(fp[a], fp[b], BAND_BUDGET, False, 8, 0)
+            i, j = a[i], b[j]
+            apart = (part[i] == part[j]) & (root[i] != root[j]) & (inside[j] | (v[i] < v[j]))
+            i, j = i[apart], j[apart]
+            bits = wide[i] ^ wide[j]
+            d = np.bitwise_count(bits).sum(1, dtype=np.int64)
+            near = (d <= CLOSE) & (_first_trie(bits.view("<u4")) == t)
+            kept.append(np.stack((i[near], j[near], d[near])))
+        i, j, d = np.concatenate(kept, 1)
+        sets, at = table.column("own"), np.unique(root, return_inverse=True)[1].tolist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in sets.chunks for x in chunk]
+        label, links = list(range(len(v))), []
+
+        def top(x: int) -> int:
+            while label[x] != x:
+                label[x] = x = label[label[x]]
+            return x
+
+        for k in np.lexsort((v[j], v[i], d)).tolist():
+            x, y = int(i[k]), int(j[k])
+            small, large = sorted((len(sets[x]), len(sets[y])))
+            p, q = top(at[x]), top(at[y])
+            if p != q and small >= least * large and jaccard(sets[x], sets[y]) >= least:
+                label[p] = q
+                links.append((v[x], v[y]))
+        u, w = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"u": u, "v": w}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return members.groupBy("g", "i", "j").applyInArrow(joined, "u long, v long")
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
     """The row with the smallest id of each group; all columns of ``docs``."""
     key = F.col(f"`{id_col}`").cast("string"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -246,17 +313,16 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     place = components(found.select("u", "v")).select(F.col("u").alias("k"), F.col("v").alias("part"))
     found = found.join(place, F.col("u") == F.col("k"), "left").select("u", "v", "d", F.coalesce("part", "u").alias("part"))
     tree = materialize(_thinned(found).select("u", "v", "part"), "tree")
-    passed = materialize(_verified(tree, _sets(keyed, entries, tree, text, size), least), "passed")
+    sets = _sets(keyed, entries, tree, text, size)
+    passed = materialize(_verified(tree, sets, least), "passed")
     roots = components(passed)
     # A pair that no forest sent is settled unless a link on its forest path failed: walk such groups again.
     root = roots.select(F.col("u").alias("rk"), F.col("v").alias("root"))
     failed = tree.join(passed, ["u", "v"], "left_anti").select("part").distinct()
     members = place.select("k", "part").unionByName(place.select(F.col("part").alias("k"), "part").distinct()).join(failed, "part", "left_semi")
-    again = materialize(entries.join(members, F.col("v") == F.col("k")).join(root, F.col("v") == F.col("rk"), "left").select("v", "best", "wide", "part", F.coalesce("root", "v").alias("root")), "again")
+    again = materialize(entries.join(members, F.col("v") == F.col("k")).join(root, F.col("v") == F.col("rk"), "left").select("v", "wide", "part", F.coalesce("root", "v").alias("root")), "again")
     if not again.isEmpty():
-        pairs = near_links(again, apart=True).join(tree.select("u", "v"), ["u", "v"], "left_anti").join(again.select(F.col("v").alias("k"), "part"), F.col("u") == F.col("k"))
-        pairs = materialize(pairs.select("u", "v", "part"), "apart")
-        roots = components(passed.unionByName(_verified(pairs, _sets(keyed, again, pairs, text, size), least)))
+        roots = components(passed.unionByName(_rejoined(again, sets, least)))
     placed = entries.join(roots.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").withColumn("root", F.coalesce("root", "v"))
     keepers = materialize(placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r1").alias("k1"), F.col("best.r2").alias("k2")), "keepers")
     kept = keyed.join(keepers.hint("merge"), (F.col("__r1") == F.col("k1")) & (F.col("__r2") == F.col("k2")), "left_semi")

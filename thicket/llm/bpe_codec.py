@@ -36,10 +36,12 @@ from .common import heaviest, map_texts, materialize, text_bytes
 from .token_counts import open_tokenizer
 
 HASH_BYTES, MASK, SHORTEST, LONGEST = 32, 0x3FF, 256, 8192
-#: Bound of the broadcast list of recurring chunks (8 bytes each), and of a worker's cache (bytes of text).
+#: Bound of the broadcast list of recurring chunks (8 bytes each), and of a worker's cache of others (bytes of texts, ids and pieces).
 PINNED, CACHE_BYTES = 65_536, 64 << 20
 #: White-space separated words whose ids a worker keeps, for the chunks it has not met.
 WORDS = 400_000
+#: Words that the tokenizer gets at once: its results take about a hundred times their ids.
+WORD_RUN = 8192
 
 _SPACE = re.compile(rb"[\t\n\r ]")
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -117,10 +119,12 @@ class Codec:
         if len(known) + len(new) > WORDS:
             known.clear()
             new = list(met)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         token = self.token
-        for w, x in zip(new, ids, strict=True):
-            known[w] = struct.pack(f"<{len(x)}I", *x), b" ".join([token[i] for i in x])
+        for k in range(0, len(new), WORD_RUN):
+            some = new[k : k + WORD_RUN]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                x = e.ids
+                known[w] = struct.pack(f"<{len(x)}I", *x), b" ".join([token[i] for i in x])
         out = []
         for own in split:
             made = list(map(known.__getitem__, own))
@@ -143,7 +147,7 @@ class Codec:
                 self.kept[c] = entry
             else:
                 self.loose[c] = entry
-                self.held += len(c)
+                self.held += len(c) + sum(map(len, entry or ()))
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each text its ids and its decoded form."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -130,6 +132,14 @@ def runs(sizes: Iterable[int], limit: int = RUN_BYTES) -> Iterator[tuple[int, in
         yield start, at
 
 
+def release() -> None:
+    """Give back a worker's freed memory: an idle worker counts to its executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[bytes]], list[list]]]) -> DataFrame:
     """``keep`` columns of ``df`` followed by computed ``fields``.
 
@@ -152,6 +162,9 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
                 arrays = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        if work is not None:
+            work = batch = texts = made = arrays = None
+            release()
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(mapped, schema)
 

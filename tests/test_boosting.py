@@ -375,3 +375,31 @@ def test_streaming(spark, tmp_path):
     trainer(frame.df, 0)
     assert len(trainer.model.trees) == 3
     assert local.base_margin(params(), y) == pytest.approx(y.mean())
+
+
+def large_frame(spark, n=400, missing=0.1):
+    x, y = data(n, missing=missing)
+    x[:, 3] = np.arange(n) % 6
+    return frame_of(spark, x, y), x, y
+
+
+def same_trees(a, b, x):
+    assert len(a.trees) == len(b.trees) and [len(t.nodes) for t in a.trees] == [len(t.nodes) for t in b.trees]
+    assert np.allclose(a.numpy_predict(x), b.numpy_predict(x), atol=1e-9)
+    for p, q in zip(a.history, b.history, strict=True):
+        assert p.keys() == q.keys() and np.allclose(list(p.values()), list(q.values()))
+
+
+def fit_beyond(spark, monkeypatch, **more):
+    """A fit on the driver, and the same call with data too large for it."""
+    frame, x, _ = large_frame(spark)
+    c = params(num_trees=3, max_depth=3).with_(**more)
+    a = Booster.fit(frame, c, metrics=("rmse",), strategy="local")
+    monkeypatch.setattr("thicket.operators.booster.LOCAL_CELLS", 100)
+    monkeypatch.setattr(Frame, "arrays", lambda self: pytest.fail("rows went to the driver"))
+    same_trees(a, Booster.fit(frame, c, metrics=("rmse",), strategy="local"), x)
+    return a
+
+
+def test_large_local_fit_stays_on_the_cluster(spark, monkeypatch):
+    fit_beyond(spark, monkeypatch)

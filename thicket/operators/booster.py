@@ -1,7 +1,8 @@
 """The booster: fit, continue, score and explain over DataFrames.
 
 Two strategies give the same trees: ``spark`` grows them with one job a level,
-``local`` takes data under a checked size to numpy. ``auto`` counts first.
+``local`` takes data under a checked size to numpy. ``auto`` counts first, and
+``local`` beyond that size is grown on the cluster, too.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from ..plans.params import Params
 from . import local, sampling, spark_grow
 from .flat import Flat
 from .frame import Frame
-from .quantize import cut_table, with_bins
+from .quantize import binned
 from .tree import NODE_SCHEMA, Node, Tree
 
 log = logging.getLogger("thicket")
 #: Rounds between two lines of the log.
 LOG_EVERY = 10
-#: Cells (rows x features) that ``auto`` takes to the driver.
+#: Cells (rows x features, with those of a validation set) that the driver takes.
 LOCAL_CELLS = 4_000_000
 #: Rounds after which the margins' lineage is cut by a checkpoint.
 CHECKPOINT_EVERY = 10
@@ -60,25 +61,27 @@ class Booster:
 
     def _train(self, frame: Frame, valid: Frame | None, metrics: tuple[str, ...], strategy: str, keep: bool = False) -> None:
         c = self.params
-        if strategy == "auto":
-            strategy = "local" if self._needs_local() or frame.cells() <= LOCAL_CELLS else "spark"
+        if strategy in ("auto", "local"):
+            cells = frame.cells() + (valid.cells() if valid is not None else 0)
+            if self._needs_local() and cells > 25 * LOCAL_CELLS:
+                raise ValueError("custom objectives and metrics need the local strategy, and the data are too large for it")
+            strategy = "local" if self._needs_local() or cells <= LOCAL_CELLS else "spark"
         if strategy == "local":
-            if self._needs_local() and frame.cells() > 25 * LOCAL_CELLS:
-                raise ValueError("this combination of parameters needs the local strategy, and the data are too large for it")
             v = None if valid is None else local.LocalData(*valid.arrays())
             self.trees, self.base, more = local.fit(local.LocalData(*frame.arrays()), c, self.trees, self.base if keep else None, v, metrics)
             self.history += more
         elif self._needs_local():
-            raise ValueError("the spark strategy has no exact, categorical, dart, leaf-refreshing, gradient-sampled or custom-objective growth")
+            raise ValueError("the spark strategy has no custom objectives and metrics")
         else:
             self._train_spark(frame, valid, metrics, keep, "catalyst" if strategy == "catalyst" else "arrow")
 
     def _needs_local(self) -> bool:
         c = self.params
-        return bool(c.tree_method == "exact" or c.categorical or c.booster == "dart" or c.refresh_leaf or c.sampling_method != "uniform" or c.custom_objective or c.custom_metric)
+        return bool(c.custom_objective or c.custom_metric)
 
     def _train_spark(self, frame: Frame, valid: Frame | None, metrics: tuple[str, ...], keep: bool, strategy: str) -> None:
         c, k = self.params, self.params.classes
+        dart, by_gradient = c.booster == "dart", c.sampling_method == "gradient_based" and c.subsample < 1 and c.num_parallel_tree == 1
         df = frame.selected().withColumnsRenamed({frame.label: "__y", frame.row: "__row"})
         if c.objective in ("binary:logistic", "binary:logitraw"):
             df = df.withColumn("__y", (F.col("__y") > 0).cast("double"))
@@ -89,24 +92,35 @@ class Booster:
         df = df.withColumn("__m", start)
         group = frame.group
         g, h = self._gradients(df, group, c)
-        cuts = cut_table(g, list(frame.features), c.max_bin, F.col("__h")[0])
-        keep_cols = ["__row", "__y", "__w", "__m", *([group] if group else [])]
-        rows = with_bins(df.select(*keep_cols, *frame.features), list(frame.features), cuts)
-        if self.trees:
+        # Dart weighs old trees anew: rows keep their features and the margin they start from.
+        keep_cols = ["__row", "__y", "__w", "__m", *([group] if group else []), *([f"`{f}`" for f in frame.features] if dart else [])]
+        rows, cuts = binned(df.select(*dict.fromkeys([*keep_cols, *[f"`{f}`" for f in frame.features]])), g, list(frame.features), c, F.col("__h")[0])
+        if self.trees and not dart:
             rows = self._add_trees(rows, self.trees, frame.features)
-        rows = rows.select(*keep_cols, "bins").persist()
+        rows = rows.select(*keep_cols, "bins")
+        if by_gradient:
+            rows = sampling.in_row_order(rows, "__row")
+        rows = rows.persist()
         vdf, names, best = None, tuple(metrics) or c.eval_metric, None
         if valid is not None:
-            vdf = valid.df.withColumn("__m", F.array(*[F.lit(self.base)] * k))
-            vdf = self._add_trees(vdf, self.trees, self.features) if self.trees else vdf
+            vstart = F.array(*[F.lit(self.base)] * k) if valid.margin is None else (F.col(f"`{valid.margin}`") if k > 1 else F.array(F.col(f"`{valid.margin}`").cast("double")))
+            vdf = valid.selected().withColumn("__m", vstart)
+            vdf = self._add_trees(vdf, self.trees, self.features) if self.trees and not dart else vdf
+            vdf = vdf.persist()
+        first, vfirst = rows, vdf
         done = len(self.trees) // (k * c.num_parallel_tree)
         for it in range(done, done + c.num_trees):
+            dropped, new = [], []
+            if dart:
+                dropped = local.choose_dropped(self.trees, c, sampling.derive_seed(c.seed, it, 7))
+                rows = self._add_trees(first, [t for i, t in enumerate(self.trees) if i not in set(dropped)], frame.features)
             grads, _ = self._gradients(rows, group, c)
-            grads = grads.persist() if k > 1 or group or c.objective == "survival:cox" else grads
+            grads = grads.persist() if dart or by_gradient or k > 1 or group or c.objective == "survival:cox" else grads
             fresh = rows
             for cls, p in [(cls, p) for cls in range(k) for p in range(c.num_parallel_tree)]:
-                one = grads.select("__row", F.col("__g")[cls].alias("g"), F.col("__h")[cls].alias("h"), F.lit(1.0).alias("n"), "bins")
-                one = sampling.sample_rows_by_hash(one, c.subsample, sampling.derive_seed(c.seed, it * k + cls, 0), "__row")
+                every = grads.select("__row", F.col("__g")[cls].alias("g"), F.col("__h")[cls].alias("h"), F.lit(1.0).alias("n"), "bins", *(["__part"] if by_gradient else []))
+                drawn_by = sampling.derive_seed(c.seed, it * k + cls, 0)
+                one = sampling.drawn_by_gradient(every, c.subsample, drawn_by).persist() if by_gradient else sampling.sample_rows_by_hash(every, c.subsample, drawn_by, "__row")
                 if c.num_parallel_tree > 1:  # each tree of a forest draws its own rows
                     drawn = sampling.with_multiplicity(one, sampling.derive_seed(c.seed, it * k + cls, 100 + p), "__row").where("copies > 0")
                     one = drawn.select("__row", (F.col("g") * F.col("copies")).alias("g"), (F.col("h") * F.col("copies")).alias("h"), F.col("copies").cast("double").alias("n"), "bins")
@@ -114,11 +128,24 @@ class Booster:
                 make = spark_grow.grow_by_leaf if c.max_leaves else spark_grow.grow
                 tree, _ = make(one, len(cuts), cuts, c, mask, sampling.derive_seed(c.seed, it * k + cls + p * 1000, p) & 0xFFFF, strategy)
                 tree.class_idx, tree.weight = cls, 1.0 / c.num_parallel_tree
-                self.trees.append(tree)
+                if c.refresh_leaf:
+                    spark_grow.refresh(tree, every, c)
+                if by_gradient:
+                    one.unpersist()
+                new.append(tree)
+            if dart:
+                local.dart_weights(self.trees, dropped, new, c)
+            self.trees += new
+            if dart:
+                fresh = self._add_trees(first, self.trees, frame.features)
+                vdf = None if valid is None else self._add_trees(vfirst, self.trees, self.features)
+            for tree in [] if dart else new:
                 fresh = self._stepped(fresh, tree, c)
-                if vdf is not None:
-                    vdf = self._add_trees(vdf, [tree], self.features)
-            fresh = fresh.checkpoint() if (it + 1 - done) % CHECKPOINT_EVERY == 0 and _can_checkpoint(fresh.sparkSession) else fresh.persist()
+                vdf = None if vdf is None else self._add_trees(vdf, [tree], self.features)
+            cut = (it + 1 - done) % CHECKPOINT_EVERY == 0 and not dart and _can_checkpoint(fresh.sparkSession)
+            fresh = fresh.checkpoint() if cut else fresh.persist()
+            if vdf is not None and cut:
+                vdf = vdf.checkpoint()
             row = {"iteration": it}
             for name in names:
                 row[f"train-{name}"] = self._spark_metric(fresh, name, "__y", group, "__row")
@@ -126,7 +153,7 @@ class Booster:
                     row[f"valid-{name}"] = self._spark_metric(vdf, name, valid.label, valid.group, valid.row)
             if not names:
                 fresh.count()  # so that the old rows can go
-            rows.unpersist()
+            (fresh if dart else rows).unpersist()
             grads.unpersist()
             rows = fresh
             self.history.append(row)
@@ -141,7 +168,9 @@ class Booster:
                     break
             if any(call(it, self.history, rows) for call in c.callbacks):
                 break
-        rows.unpersist()
+        for held in (rows, first, vfirst):
+            if held is not None:
+                held.unpersist()
 
     def _base(self, df: DataFrame) -> float:
         c = self.params
@@ -168,19 +197,15 @@ class Booster:
 
     def _stepped(self, rows: DataFrame, tree: Tree, c: Params) -> DataFrame:
         """Margins after one tree, by routing over bins and a lookup of leaf values."""
-        out, at = rows.withColumn("__node", F.lit(0)), 0
-        if c.max_leaves:  # nodes come in order of gain, not of depth
-            out = out.withColumn("__node", spark_grow.bin_case(tree))
-        while not c.max_leaves and at < len(tree.nodes) and not all(n.is_leaf for n in tree.nodes[at:]):
-            depth = tree.nodes[at].depth
-            out = out.withColumn("__node", spark_grow.route(F.col("__node"), F.col("bins"), _levels(tree, depth), at))
-            at = next((i for i, n in enumerate(tree.nodes) if n.depth == depth + 1), len(tree.nodes))
+        out = spark_grow.placed(rows, tree, c)
         values = F.array(*[F.lit(float(c.eta * tree.weight * n.value)) for n in tree.nodes])
         step = F.element_at(values, F.col("__node") + 1)
         return out.withColumn("__m", F.transform("__m", lambda v, i: v + F.when(i == tree.class_idx, step).otherwise(0.0))).drop("__node")
 
     def _add_trees(self, df: DataFrame, trees: list[Tree], features: tuple[str, ...]) -> DataFrame:
         own = Booster(self.params, features, trees, 0.0)
+        if not trees:
+            return df
         return own.margins(df, "__add").withColumn("__m", F.zip_with("__m", "__add", lambda a, b: a + b)).drop("__add")
 
     def _spark_metric(self, df: DataFrame, name: str, label: str, group: str | None, row: str) -> float:
@@ -277,12 +302,6 @@ class Booster:
         return cls(params, features, [trees[k] for k in sorted(trees)], base)
 
 
-def _levels(tree: Tree, depth: int) -> Tree:
-    """The tree cut below ``depth``: deeper nodes count as leaves."""
-    own = [n if n.depth <= depth else Node(n.depth) for n in tree.nodes]
-    return Tree(own, tree.class_idx, tree.weight)
-
-
 def _can_checkpoint(spark: SparkSession) -> bool:
     return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +73,11 @@ class Frame:
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray | None, np.ndarray]:
         """x, y, weight, margin, group and hashes of the row ids on the driver, in row order."""
-        t = self.selected().withColumn("__key", row_key(F.col(f"`{self.row}`"))).orderBy(self.row).toPandas()
-        pick = lambda c: None if c is None else t[c].to_numpy()
-        margin = pick(self.margin)
-        if margin is not None and len(margin) and isinstance(margin[0], (list, np.ndarray)):
-            margin = np.stack([np.asarray(m, float) for m in margin])
-        weight = pick(self.weight)
-        return t[list(self.features)].to_numpy(float), t[self.label].to_numpy(float), None if weight is None else weight.astype(float), None if margin is None else margin.astype(float), pick(self.group), t["__key"].to_numpy()
+        t = self.selected().withColumn("__key", row_key(F.col(f"`{self.row}`"))).orderBy(self.row).toArrow()  # Row objects would take many times the memory
+        number = lambda c: t[c].to_numpy().astype(float)  # noqa: E731  null is NaN
+        margin = None
+        if self.margin is not None:
+            listed = pa.types.is_list(t[self.margin].type)
+            margin = np.array(t[self.margin].to_pylist(), float).reshape(len(t), -1) if listed else number(self.margin)
+        x = np.stack([number(c) for c in self.features], 1)
+        return x, number(self.label), None if self.weight is None else number(self.weight), margin, None if self.group is None else t[self.group].to_numpy(), t["__key"].to_numpy()

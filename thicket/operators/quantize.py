@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import missing
+from ..plans.params import Params
 
 #: Distinct values of a feature beyond which they are merged to quantile groups
 #: before the exact prune, so that no task gets an unbounded feature.
@@ -123,6 +124,27 @@ def with_bins(df: DataFrame, features: list[str], cuts: list[np.ndarray]) -> Dat
     return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(mapped, schema)
 
 
+def binned(df: DataFrame, made: DataFrame, features: list[str], c: Params, weight: Column) -> tuple[DataFrame, list[np.ndarray]]:
+    """``df`` with bins, and cuts from ``made``, the same rows with their gradients.
+
+    A categorical feature's cuts are its distinct values, which models list, and its
+    bins their places. For exact growth bins holds the values themselves (null for
+    missing), so that distinct values needn't come to the driver.
+    """
+    exact = c.tree_method == "exact"
+    plain = [] if exact else [i for i in range(len(features)) if i not in c.categorical]
+    cuts = [np.zeros(0)] * len(features)
+    for i, own in zip(plain, cut_table(made, [features[i] for i in plain], c.max_bin, weight) if plain else [], strict=True):
+        cuts[i] = own
+    for i in c.categorical:
+        x = F.col(f"`{features[i]}`").cast("double").alias("x")
+        cuts[i] = np.unique(df.select(x).where(~missing(F.col("x"))).distinct().toArrow()["x"].to_numpy())
+    if exact:
+        cells = [F.when(~missing(F.col(f"`{f}`").cast("double")), F.col(f"`{f}`").cast("double")) for f in features]
+        return df.withColumn("bins", F.array(*cells)), cuts
+    return with_bins(df, features, [np.append(k[1:], np.inf) if i in c.categorical and len(k) else k for i, k in enumerate(cuts)]), cuts
+
+
 class QuantileSketch:
     """A mergeable weighted summary for streams of values.
 

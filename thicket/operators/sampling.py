@@ -6,9 +6,13 @@ so they need no order, and numpy and Spark draw the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MASK = (1 << 64) - 1
 
@@ -39,6 +43,85 @@ def sample_by_gradient(g: np.ndarray, share: float, seed: int) -> np.ndarray:
     return np.bincount(np.minimum(picked, n - 1), minlength=n)
 
 
+def in_row_order(df: DataFrame, row: str) -> DataFrame:
+    """The rows in the order of their ids, over all partitions; __part counts those."""
+    return df.repartitionByRange(row).sortWithinPartitions(row).withColumn("__part", F.spark_partition_id())
+
+
+#: Draws that are made at once.
+_CHUNK = 1 << 20
+
+
+def _draws_within(seed: int, n: int, keep: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Of the n numbers of :func:`draws`, what ``keep`` takes of each chunk and its start."""
+    r, out = np.random.RandomState(seed & 0xFFFFFFFF), [np.zeros(0)]
+    for i in range(0, n, _CHUNK):
+        out.append(keep(r.randint(0, 1 << 32, size=min(_CHUNK, n - i), dtype=np.uint32) / 2.0**32, i))
+    return np.concatenate(out)
+
+
+def drawn_by_gradient(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """:func:`sample_by_gradient` of rows (g, h, n, __part, ...) in row order; g, h and n count a row's draws.
+
+    Each task makes all draws, a chunk at a time, and keeps those that fall on its
+    stretch of the summed |g|. Only a count and a sum of each part reach the driver.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            part, g = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k in np.unique(part):
+                own = total.setdefault(int(k), [0, 0.0])
+                own[0] += int((part == k).sum())
+                own[1] += float(np.abs(g[part == k]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.float64())], names=["part", "n", "s"])
+
+    parts = rows.select("__part", "g").mapInArrow(summed, "part int, n long, s double").orderBy("part").collect()
+    place = {r["part"]: i for i, r in enumerate(parts)}
+    size = [r["n"] for r in parts]
+    rows_before, before = np.concatenate(([0], np.cumsum(size))).astype(np.int64), np.concatenate(([0.0], np.cumsum([r["s"] for r in parts])))
+    count, whole = int(rows_before[-1]), float(before[-1])
+
+    def own_draws(at: int) -> np.ndarray:
+        if whole <= 0:  # no gradients: each row with the given share
+            low, high = rows_before[at], rows_before[at + 1]
+            return _draws_within(seed, count, lambda u, i: u[max(0, low - i) : max(0, high - i)])
+        low, high = before[at], before[at + 1] if at + 1 < len(size) else np.inf
+        return np.sort(_draws_within(seed, int(count * share), lambda u, i: u[(u * whole >= low) & (u * whole < high)] * whole))
+
+    names = [c for c in rows.columns if c != "__part"]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, list] = {}
+        for batch in batches:
+            part, g = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("__part", "g"))
+            copies = np.zeros(len(part))
+            for k in np.unique(part):
+                at, here = place[int(k)], part == k
+                if int(k) not in state:
+                    state[int(k)] = [own_draws(at), 0, before[at], 0]  # draws, those used, |g| and rows so far
+                mine = state[int(k)]
+                end = mine[3] + int(here.sum())
+                if whole <= 0:
+                    copies[here] = (mine[0][mine[3] : end] < share) if share < 1 else 1
+                else:
+                    upto = mine[2] + np.cumsum(np.abs(g[here]))
+                    used = np.searchsorted(mine[0], upto, side="left")
+                    if end == size[at]:
+                        used[-1] = len(mine[0])
+                    copies[here] = np.diff(used, prepend=mine[1])
+                    mine[1], mine[2] = int(used[-1]), float(upto[-1])
+                mine[3] = end
+            kept = pa.array(copies > 0)
+            out = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+            for c in ("g", "h", "n"):
+                out[c] = pa.array(out[c].to_numpy(zero_copy_only=False) * copies)
+            yield pa.RecordBatch.from_arrays([out[c].filter(kept) for c in names], names=names)
+
+    return rows.mapInArrow(drawn, T.StructType([rows.schema[c] for c in names]))
+
+
 def bootstrap(n: int, seed: int) -> np.ndarray:
     """How often each of n rows is drawn in n draws with replacement."""
     return np.bincount((draws(seed, n) * n).astype(np.int64), minlength=n)

@@ -37,6 +37,7 @@ class Node:
     h: float = 0.0
     bin: int = 0
     group: int = -1
+    cat_bins: list | None = None
 
     @property
     def is_leaf(self) -> bool:
@@ -118,6 +119,8 @@ def best_splits(hist: np.ndarray, g: np.ndarray, h: np.ndarray, c: Params, allow
     on ties; among equal gains the first feature and the first bin win. ``values``
     gives a feature's bin values for categories and for exact growth. Only bins with
     rows are compared: a split after an empty bin is that after the last one with rows.
+    After a feature's last bin only the missing rows are left; exact growth, whose
+    thresholds lie between two values of the node, has no such split.
     """
     nodes, _, features, width = hist.shape
     parent = _part(g, h, c)
@@ -126,13 +129,13 @@ def best_splits(hist: np.ndarray, g: np.ndarray, h: np.ndarray, c: Params, allow
     usable = np.zeros((nodes, features), bool)
     for k, fs in enumerate(allowed):
         usable[k, plain if len(fs) == features else [f for f in fs if f in plain]] = True
-    inner = np.arange(width - 2)[None, :] < np.asarray(sizes)[:, None] - 1
-    here = own[:, 2, :, :-1] > 0
-    here &= inner
+    here = own[:, 2] > 0
+    if c.tree_method == "exact":
+        here &= np.cumsum(here[..., ::-1], -1)[..., ::-1] > 1
     here &= usable[:, :, None]
     cells = np.flatnonzero(here)
-    node, rest = np.divmod(cells, max(features * (width - 2), 1))
-    feature, bin_ = np.divmod(rest, max(width - 2, 1))
+    node, rest = np.divmod(cells, max(features * (width - 1), 1))
+    feature, bin_ = np.divmod(rest, max(width - 1, 1))
     column = node * features + feature
     many = np.bincount(column, minlength=nodes * features)
     place = np.arange(len(cells)) - (np.cumsum(many) - many)[column]

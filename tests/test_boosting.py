@@ -403,3 +403,9 @@ def fit_beyond(spark, monkeypatch, **more):
 
 def test_large_local_fit_stays_on_the_cluster(spark, monkeypatch):
     fit_beyond(spark, monkeypatch)
+
+
+@pytest.mark.parametrize("more", [{"categorical": (3,)}, {"categorical": (3,), "max_cat_to_onehot": 8}, {"categorical": (3,), "max_leaves": 6}])
+def test_large_categorical_fit(spark, monkeypatch, more):
+    model = fit_beyond(spark, monkeypatch, **more)
+    assert any(n.cat_left for t in model.trees for n in t.nodes)

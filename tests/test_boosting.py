@@ -409,3 +409,17 @@ def test_large_local_fit_stays_on_the_cluster(spark, monkeypatch):
 def test_large_categorical_fit(spark, monkeypatch, more):
     model = fit_beyond(spark, monkeypatch, **more)
     assert any(n.cat_left for t in model.trees for n in t.nodes)
+
+
+def test_large_gradient_sampled_fit(spark, monkeypatch):
+    fit_beyond(spark, monkeypatch, subsample=0.3, sampling_method="gradient_based", num_trees=2)
+
+
+def test_gradient_draws_equal_over_parts(spark):
+    r = np.random.default_rng(0)
+    g = r.normal(size=5000)
+    for values in (g, np.zeros(5000)):
+        df = spark.createDataFrame([(i, float(v), 1.0, 1.0) for i, v in enumerate(values)], "row long, g double, h double, n double").repartition(5)
+        got = sampling.drawn_by_gradient(sampling.in_row_order(df, "row"), 0.3, 7).collect()
+        want = sampling.sample_by_gradient(values, 0.3, 7)
+        assert {x["row"]: x["n"] for x in got} == {i: n for i, n in enumerate(want) if n}

@@ -423,3 +423,19 @@ def test_gradient_draws_equal_over_parts(spark):
         got = sampling.drawn_by_gradient(sampling.in_row_order(df, "row"), 0.3, 7).collect()
         want = sampling.sample_by_gradient(values, 0.3, 7)
         assert {x["row"]: x["n"] for x in got} == {i: n for i, n in enumerate(want) if n}
+
+
+@pytest.mark.parametrize("more", [{}, {"subsample": 0.6, "max_leaves": 5}])
+def test_large_multi_output_fit(spark, monkeypatch, more):
+    from thicket.operators.multi import MultiOutput
+
+    frame, x, y = large_frame(spark)
+    frame = Frame(frame.df.withColumn("z", F.coalesce("f1", F.lit(0.5)) * 2), frame.features)
+    c = params(num_trees=3, max_depth=3).with_(**more)
+    for structure in ("first", "sum"):
+        a = MultiOutput.fit(frame, ("label", "z"), c, structure)
+        with monkeypatch.context() as m:
+            m.setattr("thicket.operators.multi.LOCAL_CELLS", 100)
+            b = MultiOutput.fit(frame, ("label", "z"), c, structure)
+        assert [len(t.nodes) for t in a.trees] == [len(t.nodes) for t in b.trees]
+        assert np.allclose(a.numpy_predict(x), b.numpy_predict(x), atol=1e-9)

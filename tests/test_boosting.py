@@ -439,3 +439,15 @@ def test_large_multi_output_fit(spark, monkeypatch, more):
             b = MultiOutput.fit(frame, ("label", "z"), c, structure)
         assert [len(t.nodes) for t in a.trees] == [len(t.nodes) for t in b.trees]
         assert np.allclose(a.numpy_predict(x), b.numpy_predict(x), atol=1e-9)
+
+
+def test_large_cross_validation(spark, monkeypatch):
+    frame, _, _ = large_frame(spark, 120)
+    combos = [params(num_trees=2, max_depth=2), params(num_trees=2, max_depth=1, subsample=0.7)]
+    a = select.cross_validate(frame, combos, 2, ("rmse",)).collect()
+    for where in ("select", "booster"):
+        monkeypatch.setattr(f"thicket.operators.{where}.LOCAL_CELLS", 100)
+    b = select.cross_validate(frame, combos, 2, ("rmse",)).collect()
+    key = lambda r: tuple(r)[:4]
+    assert [key(r) for r in sorted(a, key=key)] == [key(r) for r in sorted(b, key=key)]
+    assert np.allclose([r["value"] for r in sorted(a, key=key)], [r["value"] for r in sorted(b, key=key)], atol=1e-9)

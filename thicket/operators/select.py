@@ -1,7 +1,8 @@
 """Cross-validation and parameter search: many models, fitted side by side.
 
 Folds are a column. Rows of a checked size are sent once; every fold of every
-combination is a group of its own, so Spark runs the fits in parallel.
+combination is a group of its own, so Spark runs the fits in parallel. Larger
+data are fitted on the cluster, one fold of one combination after the other.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import higher_is_better
 from ..plans.params import Params
 from . import local, sampling
-from .booster import LOCAL_CELLS
+from .booster import LOCAL_CELLS, Booster
 from .frame import Frame
 
 
@@ -34,11 +35,12 @@ def random_combinations(space: Mapping[str, Sequence], n: int, seed: int = 0) ->
 def cross_validate(frame: Frame, combos: list[Params], k: int = 5, metrics: tuple[str, ...] = ("rmse",), stratified: bool = False, shuffle_seed: int | None = None) -> DataFrame:
     """(combo, fold, split, metric, value) for every fold of every combination.
 
-    Raises if the data are too large for one fit in a task.
+    Data too large for one fit in a task are fitted on the cluster.
     """
-    if frame.cells() > LOCAL_CELLS:
-        raise ValueError("cross-validation fits each fold in one task; the data are too large for that")
     rows = sampling.folds(frame.selected(), k, frame.row, frame.label if stratified else None, shuffle_seed)
+    if frame.cells() > LOCAL_CELLS:
+        return _cross_validate_spark(frame, rows, combos, k, metrics)
+    rows = rows.withColumn("__key", sampling.row_key(F.col(f"`{frame.row}`")))  # row draws follow the ids, as on the cluster
     features, label, weight, group, row = list(frame.features), frame.label, frame.weight, frame.group, frame.row
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -47,7 +49,7 @@ def cross_validate(frame: Frame, combos: list[Params], k: int = 5, metrics: tupl
         part = part.sort_values(row)
 
         def data(p: pd.DataFrame) -> local.LocalData:
-            return local.LocalData(p[features].to_numpy(float), p[label].to_numpy(float), p[weight].to_numpy(float) if weight else None, None, p[group].to_numpy() if group else None)
+            return local.LocalData(p[features].to_numpy(float), p[label].to_numpy(float), p[weight].to_numpy(float) if weight else None, None, p[group].to_numpy() if group else None, p["__key"].to_numpy())
 
         train, test = data(part[part["fold"] != held]), data(part[part["fold"] == held])
         trees, base, _ = local.fit(train, c)
@@ -61,6 +63,21 @@ def cross_validate(frame: Frame, combos: list[Params], k: int = 5, metrics: tupl
     return each.groupBy("combo", "held").applyInPandas(one, "combo int, fold int, split string, metric string, value double")
 
 
+def _cross_validate_spark(frame: Frame, rows: DataFrame, combos: list[Params], k: int, metrics: tuple[str, ...]) -> DataFrame:
+    """The same table from fits on the cluster."""
+    rows, out = rows.persist(), []
+    for held in range(k):
+        parts = {"train": rows.where(F.col("fold") != held), "test": rows.where(F.col("fold") == held)}
+        train = Frame(parts["train"], frame.features, frame.label, frame.row, frame.weight, None, frame.group)
+        for combo, c in enumerate(combos):
+            model = Booster.fit(train, c)
+            for split, part in parts.items():
+                scored = model.margins(part, "__m")
+                out += [(combo, held, split, name, model._spark_metric(scored, name, frame.label, frame.group, frame.row)) for name in metrics]
+    rows.unpersist()
+    return rows.sparkSession.createDataFrame(sorted(out, key=lambda r: r[:2]), "combo int, fold int, split string, metric string, value double")
+
+
 def summarize(cv: DataFrame) -> DataFrame:
     """(combo, split, metric, mean, std): population deviation over folds."""
     return cv.groupBy("combo", "split", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

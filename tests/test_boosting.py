@@ -451,3 +451,7 @@ def test_large_cross_validation(spark, monkeypatch):
     key = lambda r: tuple(r)[:4]
     assert [key(r) for r in sorted(a, key=key)] == [key(r) for r in sorted(b, key=key)]
     assert np.allclose([r["value"] for r in sorted(a, key=key)], [r["value"] for r in sorted(b, key=key)], atol=1e-9)
+
+
+def test_large_refreshed_fit(spark, monkeypatch):
+    fit_beyond(spark, monkeypatch, subsample=0.3, refresh_leaf=True)

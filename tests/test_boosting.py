@@ -455,3 +455,11 @@ def test_large_cross_validation(spark, monkeypatch):
 
 def test_large_refreshed_fit(spark, monkeypatch):
     fit_beyond(spark, monkeypatch, subsample=0.3, refresh_leaf=True)
+
+
+def test_missing_rows_may_split_from_all_others(spark):
+    x = np.array([[1.0], [2.0], [np.nan], [np.nan]] * 5)
+    frame = frame_of(spark, x, np.where(np.isnan(x[:, 0]), 10.0, 0.0))
+    a, b = (Booster.fit(frame, params(num_trees=1, max_depth=1), strategy=s) for s in ("local", "spark"))
+    assert len(a.trees[0].nodes) == 3 and not a.trees[0].nodes[0].default_left
+    assert np.allclose(a.numpy_predict(x), b.numpy_predict(x))

@@ -463,3 +463,8 @@ def test_missing_rows_may_split_from_all_others(spark):
     a, b = (Booster.fit(frame, params(num_trees=1, max_depth=1), strategy=s) for s in ("local", "spark"))
     assert len(a.trees[0].nodes) == 3 and not a.trees[0].nodes[0].default_left
     assert np.allclose(a.numpy_predict(x), b.numpy_predict(x))
+
+
+def test_large_dart_fit(spark, monkeypatch):
+    model = fit_beyond(spark, monkeypatch, booster="dart", rate_drop=0.5, one_drop=True, num_trees=5)
+    assert len({t.weight for t in model.trees}) > 1

@@ -468,3 +468,8 @@ def test_missing_rows_may_split_from_all_others(spark):
 def test_large_dart_fit(spark, monkeypatch):
     model = fit_beyond(spark, monkeypatch, booster="dart", rate_drop=0.5, one_drop=True, num_trees=5)
     assert len({t.weight for t in model.trees}) > 1
+
+
+@pytest.mark.parametrize("more", [{}, {"categorical": (3,)}, {"max_leaves": 7}])
+def test_large_exact_fit(spark, monkeypatch, more):
+    fit_beyond(spark, monkeypatch, tree_method="exact", **more)

@@ -473,3 +473,7 @@ def test_large_dart_fit(spark, monkeypatch):
 @pytest.mark.parametrize("more", [{}, {"categorical": (3,)}, {"max_leaves": 7}])
 def test_large_exact_fit(spark, monkeypatch, more):
     fit_beyond(spark, monkeypatch, tree_method="exact", **more)
+
+
+def test_large_loss_guided_fit(spark, monkeypatch):
+    fit_beyond(spark, monkeypatch, max_leaves=12, max_depth=0, num_trees=2)

@@ -477,3 +477,12 @@ def test_large_exact_fit(spark, monkeypatch, more):
 
 def test_large_loss_guided_fit(spark, monkeypatch):
     fit_beyond(spark, monkeypatch, max_leaves=12, max_depth=0, num_trees=2)
+
+
+def test_large_continued_fit(spark, monkeypatch):
+    frame, x, _ = large_frame(spark)
+    start = Booster.fit(frame, params(num_trees=1, max_depth=3), metrics=("rmse",), strategy="local")
+    a = start.continue_fit(frame, 2, metrics=("rmse",), strategy="local")
+    monkeypatch.setattr("thicket.operators.booster.LOCAL_CELLS", 100)
+    monkeypatch.setattr(Frame, "arrays", lambda self: pytest.fail("rows went to the driver"))
+    same_trees(a, start.continue_fit(frame, 2, metrics=("rmse",), strategy="local"), x)

@@ -486,3 +486,12 @@ def test_large_continued_fit(spark, monkeypatch):
     monkeypatch.setattr("thicket.operators.booster.LOCAL_CELLS", 100)
     monkeypatch.setattr(Frame, "arrays", lambda self: pytest.fail("rows went to the driver"))
     same_trees(a, start.continue_fit(frame, 2, metrics=("rmse",), strategy="local"), x)
+
+
+def test_large_early_stopped_fit(spark, monkeypatch):
+    frame, x, _ = large_frame(spark)
+    train, valid = (Frame(frame.df.where(f"row_id % 5 {sign} 0").withColumn("start", F.col("f3") / 10), frame.features, margin="start") for sign in ("!=", "="))
+    c = params(num_trees=4, max_depth=4, eta=1.0, early_stopping_rounds=1)
+    a = Booster.fit(train, c, valid, ("rmse",), "local")
+    monkeypatch.setattr("thicket.operators.booster.LOCAL_CELLS", 100)
+    same_trees(a, Booster.fit(train, c, valid, ("rmse",), "local"), x)

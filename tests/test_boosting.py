@@ -495,3 +495,7 @@ def test_large_early_stopped_fit(spark, monkeypatch):
     a = Booster.fit(train, c, valid, ("rmse",), "local")
     monkeypatch.setattr("thicket.operators.booster.LOCAL_CELLS", 100)
     same_trees(a, Booster.fit(train, c, valid, ("rmse",), "local"), x)
+
+
+def test_large_forest_fit(spark, monkeypatch):
+    fit_beyond(spark, monkeypatch, num_parallel_tree=2, num_trees=2)

@@ -499,3 +499,13 @@ def test_large_early_stopped_fit(spark, monkeypatch):
 
 def test_large_forest_fit(spark, monkeypatch):
     fit_beyond(spark, monkeypatch, num_parallel_tree=2, num_trees=2)
+
+
+def test_large_ranking_fit(spark, monkeypatch):
+    frame, x, y = large_frame(spark, 120)
+    df = frame.df.withColumns({"g": F.pmod("row_id", F.lit(9)), "label": F.when(F.col("label") > 1, 2.0).when(F.col("label") > 0, 1.0).otherwise(0.0)})
+    frame, c = Frame(df, frame.features, group="g"), params(objective="rank:ndcg", num_trees=2, max_depth=2)
+    a = Booster.fit(frame, c, metrics=("ndcg@5",), strategy="local")
+    monkeypatch.setattr("thicket.operators.booster.LOCAL_CELLS", 100)
+    monkeypatch.setattr(Frame, "arrays", lambda self: pytest.fail("rows went to the driver"))
+    same_trees(a, Booster.fit(frame, c, metrics=("ndcg@5",), strategy="local"), x)

@@ -509,3 +509,7 @@ def test_large_ranking_fit(spark, monkeypatch):
     monkeypatch.setattr("thicket.operators.booster.LOCAL_CELLS", 100)
     monkeypatch.setattr(Frame, "arrays", lambda self: pytest.fail("rows went to the driver"))
     same_trees(a, Booster.fit(frame, c, metrics=("ndcg@5",), strategy="local"), x)
+
+
+def test_large_sampled_fit(spark, monkeypatch):
+    fit_beyond(spark, monkeypatch, subsample=0.5, colsample_bytree=0.75, colsample_bynode=0.75)

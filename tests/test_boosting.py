@@ -513,3 +513,11 @@ def test_large_ranking_fit(spark, monkeypatch):
 
 def test_large_sampled_fit(spark, monkeypatch):
     fit_beyond(spark, monkeypatch, subsample=0.5, colsample_bytree=0.75, colsample_bynode=0.75)
+
+
+def test_large_grid_search(spark, monkeypatch):
+    frame, _, _ = large_frame(spark, 120)
+    for where in ("select", "booster"):
+        monkeypatch.setattr(f"thicket.operators.{where}.LOCAL_CELLS", 100)
+    found = select.grid_search(frame, params(num_trees=1), {"max_depth": [1], "eta": [0.01, 0.5]}, k=2)
+    assert [x["eta"] for x, _, _ in found] == [0.5, 0.01]

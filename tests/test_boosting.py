@@ -377,9 +377,10 @@ def test_streaming(spark, tmp_path):
     assert local.base_margin(params(), y) == pytest.approx(y.mean())
 
 
-def large_frame(spark, n=400, missing=0.1):
+def large_frame(spark, n=400, missing=0.1, effect=0.0):
     x, y = data(n, missing=missing)
     x[:, 3] = np.arange(n) % 6
+    y = y + effect * np.array([0, 3, -2, 1, 4, -1])[np.arange(n) % 6]
     return frame_of(spark, x, y), x, y
 
 
@@ -392,7 +393,7 @@ def same_trees(a, b, x):
 
 def fit_beyond(spark, monkeypatch, **more):
     """A fit on the driver, and the same call with data too large for it."""
-    frame, x, _ = large_frame(spark)
+    frame, x, _ = large_frame(spark, effect=3.0 if "categorical" in more else 0.0)
     c = params(num_trees=3, max_depth=3).with_(**more)
     a = Booster.fit(frame, c, metrics=("rmse",), strategy="local")
     monkeypatch.setattr("thicket.operators.booster.LOCAL_CELLS", 100)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -341,6 +342,21 @@ def test_brown_scores_again(docs, cases):
     assert table(both, "doc_id", "s", "p", "n_once") == sorted(want, key=repr)
 
 
+def test_brown_tasks_give_memory_back(docs, monkeypatch):
+    """Each of a task's mappers ends with a release, and takes a batch's texts in runs."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", None, "", "c" * 50] * 3)], names=["t"])
+    assert [t for run in brown_lm.text_runs(batch.column(0)) for t in run] == [b"a b", b"", b"", b"c" * 50] * 3
+    assert max(map(len, brown_lm.text_runs(pa.array(["x" * brown_lm.RUN_BYTES] * 3)))) == 1
+    calls = []
+    monkeypatch.setattr(brown_lm, "release", lambda: calls.append(1))
+    assert list(brown_lm.released(iter)([1, 2])) == [1, 2] and calls == [1]
+    model, _ = brown_lm.train(docs)
+    words, sizes, counts, classes = model.packed()
+    place = brown_lm.unpacked(words, sizes)
+    assert [(w, int(counts[i]), int(classes[i])) for w, i in place.items()] == [(w, c, k) for w, c, k in model.table]
+    assert brown_lm.unpacked(*brown_lm.Model([], 0, 0).packed()[:2]) == {}
+
+
 def test_brown_probabilities_sum_to_one(docs):
     model, words = brown_lm.train(docs)
     assert np.allclose((10**model.step).sum(1), 1)

@@ -25,7 +25,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import heaviest, materialize, runs, text_bytes
+from .common import RUN_BYTES, heaviest, materialize, release, runs, text_bytes
 
 END = b""  # no word is empty
 #: Words of the broadcast table, words that are exchanged among themselves, classes.
@@ -51,6 +52,25 @@ def words_of(text: bytes) -> list[bytes]:
     return [w if len(w) <= LONGEST else b" " + xxhash.xxh3_128_digest(w) for w in text.lower().split()]
 
 
+def text_runs(column: pa.Array) -> Iterator[list[bytes]]:
+    """UTF-8 of the texts of a batch, a run of them at a time."""
+    for i, j in runs(pc.fill_null(pc.binary_length(column), 0).to_pylist(), RUN_BYTES):
+        yield text_bytes(column.slice(i, j - i))
+
+
+def released(make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``make`` with its worker's freed memory given back at the end of a task.
+
+    Up to four workers of an executor wait for their next task with all they ever took.
+    """
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        release()
+
+    return mapped
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
@@ -65,7 +85,7 @@ def word_counts(training: DataFrame, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
         for batch in batches:
-            for t in text_bytes(batch.column(0)):
+            for t in chain.from_iterable(text_runs(batch.column(0))):
                 seen.update(words_of(t))
                 if len(seen) > 500_000:
                     yield sent()
@@ -74,7 +94,7 @@ def word_counts(training: DataFrame, text: str) -> DataFrame:
         if seen:
             yield sent()
 
-    return training.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mapped, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return training.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(released(mapped), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def bigrams(training: DataFrame, text: str, own: dict[bytes, int]) -> DataFrame:
@@ -88,10 +108,9 @@ def bigrams(training: DataFrame, text: str, own: dict[bytes, int]) -> DataFrame:
         get, total = sent.value.get, np.zeros(SYMBOLS * SYMBOLS, np.int64)
         end = get(END, OWN)
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for i, j in runs(map(len, texts), 1 << 20):
+            for texts in text_runs(batch.column(0)):
                 seq = [end]
-                for t in texts[i:j]:
+                for t in texts:
                     seq += [get(w, OWN) for w in t.lower().split()]
                     seq.append(end)
                 s = np.array(seq, np.int64)
@@ -99,7 +118,7 @@ def bigrams(training: DataFrame, text: str, own: dict[bytes, int]) -> DataFrame:
         codes = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes])], names=["code", "n"])
 
-    return training.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mapped, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return training.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(released(mapped), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 #: A task sends the neighbours of a word as bytes (class before, class after), or
@@ -128,7 +147,7 @@ def neighbours(training: DataFrame, text: str, own_class: dict[bytes, int]) -> D
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([_packed(x) for x in seen.values()], pa.binary())], names=["word", "near"])
 
         for batch in batches:
-            for t in text_bytes(batch.column(0)):
+            for t in chain.from_iterable(text_runs(batch.column(0))):
                 tokens = words_of(t)
                 c = np.array([end, *[get(w, OTHER) for w in tokens], end], np.uint8)
                 at = np.flatnonzero(c == OTHER)
@@ -144,7 +163,7 @@ def neighbours(training: DataFrame, text: str, own_class: dict[bytes, int]) -> D
         if seen:
             yield made()
 
-    return training.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(mapped, "word binary, near binary")
+    return training.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(released(mapped), "word binary, near binary")
 
 
 def context_counts(near: list[list[bytes]]) -> np.ndarray:
@@ -244,6 +263,11 @@ class Model:
         self.table, self.total, self.distinct = table, total, distinct  # word, count, class
         self.mass, self.kinds, self.cells = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros((CLASSES, CLASSES))
 
+    def packed(self) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The table as flat arrays, which a worker holds as long as it lives: words, their lengths, counts, classes."""
+        words, counts, classes = zip(*self.table, strict=True) if self.table else ((), (), ())
+        return b"".join(words), np.array([len(w) for w in words], np.uint8), np.array(counts, np.int64), np.array(classes, np.uint8)
+
     @property
     def unknown(self) -> int:
         """The class of words without a class of their own."""
@@ -261,6 +285,12 @@ class Model:
         return np.log10(self.mass + ADD * (self.kinds + 1))
 
 
+def unpacked(words: bytes, sizes: np.ndarray) -> dict[bytes, int]:
+    """The place of each word of :meth:`Model.packed`."""
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return {words[e - n : e]: i for i, (e, n) in enumerate(zip(ends, sizes.tolist(), strict=True))}
+
+
 def word_classes(training: DataFrame, text: str, counts: DataFrame) -> DataFrame:
     """(word, c, k): count and class of every training word."""
     spark = training.sparkSession
@@ -287,7 +317,7 @@ def word_classes(training: DataFrame, text: str, counts: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n[:, : CLASSES + 1].sum(1).astype(np.int64)), pa.array(k)], names=["word", "c", "k"])
 
     near = neighbours(training, text, {w: int(label[i]) for w, i in place.items()})
-    others = near.groupBy("word").agg(F.collect_list("near").alias("near")).mapInArrow(classed, "word binary, c long, k short")
+    others = near.groupBy("word").agg(F.collect_list("near").alias("near")).mapInArrow(released(classed), "word binary, c long, k short")
     frequent = spark.createDataFrame([(bytearray(w), c, int(label[place[w]])) for c, w in own], "word binary, c long, k short")
     return materialize(others.unionByName(frequent), "classes")
 
@@ -324,25 +354,25 @@ def code(docs: DataFrame, model: Model, words: DataFrame, id_col: str, text: str
 
     ``counted`` is the sum of log10(c + ADD).
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.table, model.unknown))
+    sent = docs.sparkSession.sparkContext.broadcast((*model.packed(), model.unknown))
     rare_kind = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("at", T.BinaryType())]))
     numbers = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "n_once")]
     schema = T.StructType([docs.schema[id_col], *numbers, T.StructField("counted", T.DoubleType()), T.StructField("seq", T.BinaryType()), T.StructField("rare", rare_kind)])
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, unknown = sent.value
-        place = {w: i for i, (w, _, _) in enumerate(table)}
-        get = place.get
-        c = np.array([c for _, c, _ in table] + [0], np.int64)
+        packed_words, sizes, counts, classes, unknown = sent.value
+        get = unpacked(packed_words, sizes).get
+        c = np.append(counts, 0)
         logs = np.log10(c + ADD)
         logs[-1] = 0  # what is not in the table is counted after the join
-        label = np.array([k for _, _, k in table] + [unknown], np.uint8)
+        label = np.append(classes, np.uint8(unknown))
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for i, j in runs(map(len, texts)):
+            i = j = 0
+            for texts in text_runs(batch.column(1)):
+                i, j = j, j + len(texts)
                 made, names, places, ends = [], [], [], [0]
-                for t in texts[i:j]:
+                for t in texts:
                     tokens = words_of(t)
                     tokens.append(END)
                     at = np.array([get(w, -1) for w in tokens], np.int64)
@@ -361,7 +391,7 @@ def code(docs: DataFrame, model: Model, words: DataFrame, id_col: str, text: str
                 pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(places, pa.binary())], names=["word", "at"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=schema.names)
 
-    first = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__t")).mapInArrow(mapped, schema)
+    first = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__t")).mapInArrow(released(mapped), schema)
     first = materialize(first.withColumn("__row", F.monotonically_increasing_id()), "first")
     rare = first.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.at")
     n, known = F.octet_length("at") / 4, F.coalesce("c", F.lit(0))
@@ -392,7 +422,7 @@ def code(docs: DataFrame, model: Model, words: DataFrame, id_col: str, text: str
                 data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(whole)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], data], names=schema.names[:6])
 
-    return materialize(out.mapInArrow(filled, T.StructType(schema.fields[:6])), "coded")
+    return materialize(out.mapInArrow(released(filled), T.StructType(schema.fields[:6])), "coded")
 
 
 def _transitions(coded: DataFrame, model: Model) -> DataFrame:
@@ -408,7 +438,7 @@ def _transitions(coded: DataFrame, model: Model) -> DataFrame:
         codes = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes])], names=["code", "n"])
 
-    return coded.select("seq").mapInArrow(mapped, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return coded.select("seq").mapInArrow(released(mapped), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,7 +464,7 @@ def _scored(coded: DataFrame, model: Model, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(made, pa.float64())], names=schema.names)
 
     base = math.log10(model.total + ADD * (model.distinct + 1))
-    out = coded.select(*[F.col(f"`{c}`") for c in kept], "seq").mapInArrow(mapped, schema)
+    out = coded.select(*[F.col(f"`{c}`") for c in kept], "seq").mapInArrow(released(mapped), schema)
     counted, tokens, total = F.col("counted"), F.col("n_tokens"), F.col("counted") + F.col("steps")
     return out.select(
         F.col(f"`{id_col}`"), held_out(F.col(f"`{id_col}`")).alias("held_out"), tokens, "n_known",

@@ -522,3 +522,27 @@ def test_large_grid_search(spark, monkeypatch):
         monkeypatch.setattr(f"thicket.operators.{where}.LOCAL_CELLS", 100)
     found = select.grid_search(frame, params(num_trees=1), {"max_depth": [1], "eta": [0.01, 0.5]}, k=2)
     assert [x["eta"] for x, _, _ in found] == [0.5, 0.01]
+
+
+@pytest.mark.parametrize("label", [None, "y"])
+@pytest.mark.parametrize("shuffle_seed", [None, 5])
+@pytest.mark.parametrize("n", [2, 1003])
+def test_folds_of_large_data_by_edges(spark, monkeypatch, label, shuffle_seed, n):
+    df = spark.range(n).select((F.col("id") * 7919 % 1009).alias("row_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("y")).repartition(3)
+    expected = sorted(map(tuple, sampling.folds(df, 4, label=label, shuffle_seed=shuffle_seed).select("row_id", "fold").collect()))
+    found = sampling.folds_by_edges(df, 4, label=label, shuffle_seed=shuffle_seed)
+    assert sorted(map(tuple, found.select("row_id", "fold").collect())) == expected
+    assert "Window" not in found._jdf.queryExecution().toString()
+    monkeypatch.setattr("thicket.operators.sampling._LABELS", 1)
+    assert sorted(map(tuple, sampling.folds_by_edges(df, 4, label=label, shuffle_seed=shuffle_seed).select("row_id", "fold").collect())) == expected
+
+
+def test_large_search_spreads_its_rows(spark, monkeypatch):
+    frame, _, _ = large_frame(spark, 120)
+    frame, parts = Frame(frame.df.repartition(3), frame.features), []
+    for where in ("select", "booster"):
+        monkeypatch.setattr(f"thicket.operators.{where}.LOCAL_CELLS", 100)
+    fit = Booster.fit
+    monkeypatch.setattr(Booster, "fit", lambda f, c: (parts.append(f.df.rdd.getNumPartitions()), fit(f, c))[1])
+    select.grid_search(frame, params(num_trees=1), {"max_depth": [1]}, k=2)
+    assert parts == [3, 3]

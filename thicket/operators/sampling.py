@@ -212,3 +212,45 @@ def folds(df: DataFrame, k: int, row: str = "row_id", label: str | None = None,
     edge = more * (base + 1)
     fold = F.when(place < edge, F.floor(place / (base + 1))).otherwise(more + F.floor((place - edge) / F.greatest(base, F.lit(1))))
     return df.withColumn("fold", F.least(fold, F.lit(k - 1)).cast("int"))
+
+
+#: Values of a label up to which folds of each label are dealt by edges.
+_LABELS = 100
+
+
+def folds_by_edges(df: DataFrame, k: int, row: str = "row_id", label: str | None = None, shuffle_seed: int | None = None) -> DataFrame:
+    """:func:`folds` of large data: no task sorts all rows, and rows stay in their partitions.
+
+    The rows that begin a fold are found by the sizes of ranges of row ids; only
+    these sizes and k - 1 ids for each label reach the driver. A label of more than
+    ``_LABELS`` values has windows that are spread by it.
+    """
+    if k < 2:
+        raise ValueError("at least two folds are needed")
+    if label and df.select(label).distinct().limit(_LABELS + 1).count() > _LABELS:
+        return folds(df, k, row, label, shuffle_seed)
+    order = F.col(row) if shuffle_seed is None else F.xxhash64(F.col(row), F.lit(shuffle_seed))
+    keys = df.select(order.alias("o"), F.col(row).alias("r"), (F.col(label) if label else F.lit(0)).alias("l"))
+    keys = keys.repartitionByRange("o", "r").withColumn("part", F.spark_partition_id()).persist()
+    sizes: dict = {}
+    for x in keys.groupBy("l", "part").count().orderBy("part").collect():
+        sizes.setdefault(x["l"], []).append((x["part"], x["count"]))
+    wanted = []
+    for own, parts in sizes.items():
+        n = sum(size for _, size in parts)
+        for first in {i * (n // k) + min(i, n % k) for i in range(1, k)} - {n}:
+            for part, size in parts:
+                if 0 <= first < size:
+                    wanted.append((own, part, first + 1))
+                first -= size
+    fold = F.lit(0)
+    if wanted:
+        at = df.sparkSession.createDataFrame(wanted, T.StructType([T.StructField("own", keys.schema["l"].dataType), T.StructField("at", T.IntegerType()), T.StructField("nth", T.IntegerType())]))
+        placed = keys.where(F.col("part").isin(sorted({x[1] for x in wanted}))).withColumn("place", F.row_number().over(Window.partitionBy("l", "part").orderBy("o", "r")))
+        found = placed.join(F.broadcast(at), F.col("l").eqNullSafe(F.col("own")) & (F.col("part") == F.col("at")) & (F.col("place") == F.col("nth")))
+        for x in found.collect():  # k - 1 rows for each label at most
+            past = (order > x["o"]) | (order == x["o"]) & (F.col(row) >= x["r"])
+            past &= F.col(label).eqNullSafe(F.lit(x["l"])) if label else F.lit(True)
+            fold += F.coalesce(past, F.lit(False)).cast("int")
+    keys.unpersist()
+    return df.withColumn("fold", fold.cast("int"))

@@ -37,10 +37,10 @@ def cross_validate(frame: Frame, combos: list[Params], k: int = 5, metrics: tupl
 
     Data too large for one fit in a task are fitted on the cluster.
     """
-    rows = sampling.folds(frame.selected(), k, frame.row, frame.label if stratified else None, shuffle_seed)
+    how = k, frame.row, frame.label if stratified else None, shuffle_seed
     if frame.cells() > LOCAL_CELLS:
-        return _cross_validate_spark(frame, rows, combos, k, metrics)
-    rows = rows.withColumn("__key", sampling.row_key(F.col(f"`{frame.row}`")))  # row draws follow the ids, as on the cluster
+        return _cross_validate_spark(frame, sampling.folds_by_edges(frame.selected(), *how), combos, k, metrics)
+    rows = sampling.folds(frame.selected(), *how).withColumn("__key", sampling.row_key(F.col(f"`{frame.row}`")))  # row draws follow the ids, as on the cluster
     features, label, weight, group, row = list(frame.features), frame.label, frame.weight, frame.group, frame.row
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

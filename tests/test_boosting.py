@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -546,3 +547,34 @@ def test_large_search_spreads_its_rows(spark, monkeypatch):
     monkeypatch.setattr(Booster, "fit", lambda f, c: (parts.append(f.df.rdd.getNumPartitions()), fit(f, c))[1])
     select.grid_search(frame, params(num_trees=1), {"max_depth": [1]}, k=2)
     assert parts == [3, 3]
+
+
+class Groups(np.ndarray):
+    def __eq__(self, other):
+        pytest.fail("all rows were compared with one group")
+
+
+@pytest.mark.parametrize("objective", ["rank:ndcg", "rank:map", "rank:pairwise"])
+def test_local_ranking_sorts_groups_once_and_takes_pairs_in_blocks(monkeypatch, objective):
+    r = np.random.default_rng(3)
+    p, y, group, c = r.normal(size=3000), r.integers(0, 4, 3000).astype(float), r.integers(0, 40, 3000), params(objective=objective)
+    expected = np.zeros((2, 3000))
+    for k in range(40):
+        at = np.flatnonzero(group == k)
+        expected[:, at] = O.np_gradient(c, p[at], y[at])
+    assert np.allclose(O.np_gradient(c, p, y, None, group.view(Groups)), expected, atol=1e-12)
+    assert M.np_metric("ndcg@5", p, y, group.view(Groups)) == pytest.approx(np.mean([M.np_metric("ndcg@5", p[group == k], y[group == k]) for k in range(40)]))
+    whole = O.np_gradient(c, p[:300], y[:300])
+    monkeypatch.setattr("thicket.functions.objectives._PAIRS", 1000)
+    assert np.allclose(O.np_gradient(c, p[:300], y[:300]), whole, atol=1e-12)
+    monkeypatch.undo()
+    tracemalloc.start()
+    O.np_gradient(c, p, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000  # all pairs at once take hundreds of MB
+
+
+def test_rows_without_a_group_meet_no_others():
+    g, h = O.np_gradient(params(objective="rank:pairwise"), np.zeros(4), np.array([0.0, 1, 0, 1]), None, np.array([1.0, 1, np.nan, np.nan]))
+    assert g.tolist() == [0.5, -0.5, 0, 0] and h[2:].tolist() == [0, 0]

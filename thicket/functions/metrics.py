@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .expressions import clamp, log1p_safe
+from .objectives import rows_by_group
 
 EPS = 1e-15
 #: Metrics of which more is better.
@@ -194,7 +195,7 @@ def np_metric(name: str, p: np.ndarray, y: np.ndarray, group: np.ndarray | None
         pre = np.minimum.accumulate((np.cumsum(hit) / np.arange(1, len(hit) + 1))[hit > 0])
         return float(pre.mean()) if len(pre) else 0.0
     if base in ("ndcg", "map", "pre"):
-        return float(np.mean([_np_rank(base, int(arg or 0), p[group == k], y[group == k]) for k in np.unique(group)] if group is not None else [_np_rank(base, int(arg or 0), p, y)]))
+        return float(np.mean([_np_rank(base, int(arg or 0), p[at], y[at]) for at in rows_by_group(group)] if group is not None else [_np_rank(base, int(arg or 0), p, y)]))
     if base == "cox-nloglik":
         t = np.abs(y)
         times, at = np.unique(t, return_inverse=True)

@@ -289,32 +289,48 @@ def _np_cox(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e * r1 - event, np.maximum(e * r1 - e * e * r2, TINY)
 
 
+#: Pairs of one group that are looked at at once.
+_PAIRS = 1 << 18
+
+
+def rows_by_group(group: np.ndarray) -> list[np.ndarray]:
+    """The places of each group's rows, in their order; one sort, whatever the number of groups."""
+    order = np.argsort(group, kind="stable")
+    return np.split(order, np.unique(group[order], return_index=True)[1][1:])
+
+
 def _np_pairs(c: Params, p: np.ndarray, y: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     g, h = np.zeros(len(p)), np.zeros(len(p))
-    for k in np.unique(group):
-        at = np.flatnonzero(group == k)
-        m, lab = p[at], y[at]
-        rank = np.empty(len(at))
-        rank[np.argsort(-m, kind="stable")] = np.arange(1, len(at) + 1)
-        a, b = np.nonzero(lab[:, None] > lab[None, :])
+    for at in rows_by_group(group):
+        if not len(at) or group[at[0]] != group[at[0]]:  # rows without a group meet no others, as in a join
+            continue
+        m, lab, n = p[at], y[at], len(at)
+        rank = np.empty(n)
+        rank[np.argsort(-m, kind="stable")] = np.arange(1, n + 1)
         if c.objective == "rank:ndcg":
             worth = 2.0**lab - 1 if c.ndcg_exp_gain else lab
-            ideal = (np.sort(worth)[::-1] / np.log2(np.arange(2, len(at) + 2))).sum()
-            wt = np.abs((worth[a] - worth[b]) * (1 / np.log2(rank[a] + 1) - 1 / np.log2(rank[b] + 1))) / ideal if ideal > 0 else np.zeros(len(a))
+            ideal = (np.sort(worth)[::-1] / np.log2(np.arange(2, n + 2))).sum()
         elif c.objective == "rank:map":
             order = np.argsort(rank)
             hit = (lab[order] > 0).astype(float)
-            hits, pre = np.empty(len(at)), np.empty(len(at))
-            hits[order], pre[order] = np.cumsum(hit), np.cumsum(hit / np.arange(1, len(at) + 1))
-            down = hits[a] / rank[a] - hits[b] / rank[b] + pre[b] - pre[a]
-            up = (hits[b] + 1) / rank[b] - hits[a] / rank[a] + (pre[a] - 1 / rank[a]) - pre[b]
-            wt = np.where((lab[a] > 0) & (lab[b] <= 0), np.abs(np.where(rank[a] < rank[b], down, up)), 0.0) / max(1.0, hit.sum())
-        else:
-            wt = np.ones(len(a))
-        rho = np_sigmoid(m[b] - m[a])
-        lam, hess = rho * wt, np.maximum(rho * (1 - rho), TINY) * wt
-        g[at] += np.bincount(b, lam, minlength=len(at)) - np.bincount(a, lam, minlength=len(at))
-        h[at] += np.bincount(a, hess, minlength=len(at)) + np.bincount(b, hess, minlength=len(at))
+            hits, pre = np.empty(n), np.empty(n)
+            hits[order], pre[order] = np.cumsum(hit), np.cumsum(hit / np.arange(1, n + 1))
+        step = max(1, _PAIRS // n)
+        for i in range(0, n, step):
+            a, b = np.nonzero(lab[i : i + step, None] > lab[None, :])
+            a += i
+            if c.objective == "rank:ndcg":
+                wt = np.abs((worth[a] - worth[b]) * (1 / np.log2(rank[a] + 1) - 1 / np.log2(rank[b] + 1))) / ideal if ideal > 0 else np.zeros(len(a))
+            elif c.objective == "rank:map":
+                down = hits[a] / rank[a] - hits[b] / rank[b] + pre[b] - pre[a]
+                up = (hits[b] + 1) / rank[b] - hits[a] / rank[a] + (pre[a] - 1 / rank[a]) - pre[b]
+                wt = np.where((lab[a] > 0) & (lab[b] <= 0), np.abs(np.where(rank[a] < rank[b], down, up)), 0.0) / max(1.0, hit.sum())
+            else:
+                wt = np.ones(len(a))
+            rho = np_sigmoid(m[b] - m[a])
+            lam, hess = rho * wt, np.maximum(rho * (1 - rho), TINY) * wt
+            g[at] += np.bincount(b, lam, minlength=n) - np.bincount(a, lam, minlength=n)
+            h[at] += np.bincount(a, hess, minlength=n) + np.bincount(b, hess, minlength=n)
     return g, h
 
 
